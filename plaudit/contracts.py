@@ -10,8 +10,19 @@ from pyspark.sql import types as T
 CORRUPT = "_corrupt_record"
 
 
+_TYPES = {
+    "STRING": T.StringType(),
+    "DOUBLE": T.DoubleType(),
+    "BIGINT": T.LongType(),
+    "INT": T.IntegerType(),
+    "TEXTMAP": T.MapType(T.StringType(), T.StringType()),
+}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """A flat schema from ``name TYPE`` pairs, usable before any session exists."""
+    pairs = [field.split() for field in spec.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 REVIEW = _struct(
@@ -21,7 +32,7 @@ REVIEW = _struct(
 BUSINESS = _struct(
     "business_id STRING, name STRING, address STRING, city STRING, state STRING, "
     "postal_code STRING, latitude DOUBLE, longitude DOUBLE, stars DOUBLE, review_count BIGINT, "
-    "is_open BIGINT, categories STRING, attributes MAP<STRING, STRING>"
+    "is_open BIGINT, categories STRING, attributes TEXTMAP"
 )
 USER = _struct(
     "user_id STRING, name STRING, yelping_since STRING, review_count BIGINT, average_stars DOUBLE"

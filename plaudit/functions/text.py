@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import let
 from .vocab import GRAM_SIZES, STOP_WORDS
 
 
@@ -57,8 +58,7 @@ def char_grams(text: Column, sizes: tuple[int, int] = GRAM_SIZES) -> Column:
     low, high = sizes
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: F.length(w) > 0)
 
-    def grams_of(word: Column) -> Column:
-        padded = F.concat(F.lit(" "), word, F.lit(" "))
+    def grams_of(padded: Column) -> Column:
         length = F.length(padded)
         by_size = F.transform(
             F.sequence(F.lit(low), F.greatest(F.lit(low), F.least(F.lit(high), length))),
@@ -69,20 +69,41 @@ def char_grams(text: Column, sizes: tuple[int, int] = GRAM_SIZES) -> Column:
         )
         return F.flatten(by_size)
 
-    return F.flatten(F.transform(words, grams_of))
+    padded_words = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    return F.flatten(F.transform(padded_words, grams_of))
 
 
 def word_grams(words: Column, longest: int) -> Column:
     """All runs of 1 to ``longest`` words, joined by blanks."""
-    count = F.size(words)
-    by_size = F.transform(
-        F.filter(F.sequence(F.lit(1), F.lit(longest)), lambda n: n <= count),
-        lambda n: F.transform(
-            F.sequence(F.lit(1), count - n + 1),
-            lambda at: F.array_join(F.slice(words, at, n), " "),
-        ),
-    )
-    return F.flatten(by_size)
+
+    def runs(w: Column) -> Column:
+        count = F.size(w)
+        by_size = F.transform(
+            F.filter(F.sequence(F.lit(1), F.lit(longest)), lambda n: n <= count),
+            lambda n: F.transform(
+                F.sequence(F.lit(1), count - n + 1),
+                lambda at: F.array_join(F.slice(w, at, n), " "),
+            ),
+        )
+        return F.flatten(by_size)
+
+    return let(words, runs)
+
+
+def substrings(text: Column, lengths: Sequence[int]) -> Column:
+    """All substrings of the given lengths."""
+
+    def cuts(t: Column) -> Column:
+        fitting = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(t))
+        by_length = F.transform(
+            fitting,
+            lambda n: F.transform(
+                F.sequence(F.lit(1), F.length(t) - n + 1), lambda at: t.substr(at, n)
+            ),
+        )
+        return F.flatten(by_length)
+
+    return let(text, cuts)
 
 
 def normal_opinion(opinion: Column) -> Column:

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 Vocabulary = Mapping[str, Sequence[str]]
 
@@ -177,9 +176,7 @@ GENERAL = "general"
 # Vocabularies up to this many terms become literal sets inside expressions; larger ones are joined.
 LITERAL_LIMIT = 20_000
 
-POLARITY_SCHEMA = T.StructType.fromDDL(
-    "aspect_to_match STRING, term_to_match STRING, polarity STRING"
-)
+POLARITY_SCHEMA = "aspect_to_match STRING, term_to_match STRING, polarity STRING"
 
 
 def read_vocabulary(df: DataFrame, label: str, term: str, limit: int = LITERAL_LIMIT) -> dict[str, list[str]]:

@@ -91,9 +91,11 @@ def has_field(df: DataFrame, column: str, field: str, name: str) -> DataFrame:
     return df.withColumn(name, value.isNotNull())
 
 
-def absa_ready(reviews: DataFrame, business: DataFrame, users: DataFrame) -> DataFrame:
+def absa_ready(
+    reviews: DataFrame, business: DataFrame, users: DataFrame, regex: str = DOMAIN_REGEX
+) -> DataFrame:
     """Reviews of businesses in the domain, with the author's own statistics."""
-    places = filter_domain(business).select("business_id", "name", "city", "state")
+    places = filter_domain(business, regex=regex).select("business_id", "name", "city", "state")
     people = users.select("user_id", "review_count", "average_stars")
     spread = ["review_id"] if "review_id" in reviews.columns else None
     at_place = join_dimension(reviews, places, "business_id", "inner", spread=spread)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from ..functions.bind import is_in
 from ..functions.text import sentences, word_tokens
 
 ASPECTS = ("food", "service", "price", "amb")
@@ -22,11 +23,11 @@ def _sentence_facts(
         tokens,
         lambda words: F.struct(
             *[
-                F.exists(words, lambda w, t=terms: w.isin(list(t))).alias(name)
+                F.exists(words, is_in(terms)).alias(name)
                 for name, terms in aspects.items()
             ],
-            F.filter(words, lambda w: w.isin(list(positive))).alias("pos"),
-            F.filter(words, lambda w: w.isin(list(negative))).alias("neg"),
+            F.filter(words, is_in(positive)).alias("pos"),
+            F.filter(words, is_in(negative)).alias("neg"),
         ),
     )
 

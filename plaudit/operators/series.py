@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bind import computed, let
 from ..scale import exact_quantiles
 
 MIN_MONTHS = 24
@@ -37,12 +38,9 @@ def as_arrays(points: DataFrame) -> DataFrame:
     folded = points.groupBy("series").agg(
         F.array_sort(F.collect_list(F.struct("date", "y"))).alias("m")
     )
-    return folded.select(
-        "series",
-        F.size("m").alias("n"),
-        F.transform("m", lambda e: e["date"]).alias("dates"),
-        F.transform("m", lambda e: e["y"]).alias("y"),
-    )
+    return computed(
+        folded, n=F.size("m"), dates=F.col("m.date"), y=F.col("m.y")
+    ).drop("m")
 
 
 def user_series(points: DataFrame, users: Sequence | None = None) -> DataFrame:
@@ -92,17 +90,26 @@ def _dot(a: Column, b: Column) -> Column:
     return _total(F.zip_with(a, b, lambda x, y: x * y))
 
 
-def _minus(values: Column, mean: Column) -> Column:
-    return F.transform(values, lambda x: x - mean)
+def _centre(values: Column) -> Column:
+    return let(_mean(values), lambda m: F.transform(values, lambda x: x - m))
+
+
+def _less(a: Column, b: Column, factor: Column) -> Column:
+    """a - factor * b, element by element."""
+    return let(factor, lambda f: F.zip_with(a, b, lambda x, y: x - f * y))
 
 
 def _autocovariances(centred: Column, lags: Column) -> Column:
     """Sum of products at lags 0..``lags`` of an already centred array."""
-    n = F.size(centred)
-    return F.transform(
-        F.sequence(F.lit(0), lags),
-        lambda k: _dot(F.slice(centred, F.lit(1), n - k), F.slice(centred, k + 1, n - k)),
-    )
+
+    def at_lags(c: Column) -> Column:
+        n = F.size(c)
+        return F.transform(
+            F.sequence(F.lit(0), lags),
+            lambda k: _dot(F.slice(c, F.lit(1), n - k), F.slice(c, k + 1, n - k)),
+        )
+
+    return let(centred, at_lags)
 
 
 def _top_lag(n: Column, limit: int) -> Column:
@@ -129,13 +136,13 @@ def rolling_mean(points: DataFrame, width: int = 12) -> DataFrame:
 
 
 def _acf_arrays(points: DataFrame, max_lag: int) -> DataFrame:
-    arrays = as_arrays(points).withColumn("m", _mean(F.col("y"))).withColumn("c", _minus(F.col("y"), F.col("m")))
-    cov = arrays.withColumn("g", _autocovariances(F.col("c"), _top_lag(F.col("n"), max_lag)))
+    arrays = as_arrays(points)
+    cov = _autocovariances(_centre(F.col("y")), _top_lag(F.col("n"), max_lag))
     # A constant series has no autocorrelation: nulls, not a division error.
-    return cov.select(
-        "series", "n",
-        F.transform("g", lambda x: F.when(F.col("g")[0] > TINY, F.try_divide(x, F.col("g")[0]))).alias("r"),
+    scaled = let(
+        cov, lambda g: F.transform(g, lambda x: F.when(g[0] > TINY, F.try_divide(x, g[0])))
     )
+    return computed(arrays.select("series", "n", "y"), r=scaled).drop("y")
 
 
 def acf(points: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
@@ -187,16 +194,11 @@ def dickey_fuller(points: DataFrame, min_months: int = 4) -> DataFrame:
     constant, no further lags."""
     arrays = as_arrays(points).where(F.col("n") >= min_months)
     y, n = F.col("y"), F.col("n")
-    sets = arrays.withColumn("x", F.slice(y, F.lit(1), n - 1)).withColumn(
-        "d", F.zip_with(F.slice(y, F.lit(2), n - 1), "x", lambda a, b: a - b)
-    )
+    before = F.slice(y, F.lit(1), n - 1)
+    change = F.zip_with(F.slice(y, F.lit(2), n - 1), before, lambda a, b: a - b)
+    sets = computed(arrays.select("series", "n", "y"), x=_centre(before), d=_centre(change))
     x, d = F.col("x"), F.col("d")
-    centred = sets.withColumn("mx", _mean(x)).withColumn("md", _mean(d)).select(
-        "series", "n", _minus(x, F.col("mx")).alias("x"), _minus(d, F.col("md")).alias("d")
-    )
-    sums = centred.select(
-        "series", "n", _dot(x, x).alias("sxx"), _dot(x, d).alias("sxd"), _dot(d, d).alias("sdd")
-    )
+    sums = computed(sets, sxx=_dot(x, x), sxd=_dot(x, d), sdd=_dot(d, d))
     sxx = F.when(F.col("sxx") > TINY, F.col("sxx"))
     rss = F.col("sdd") - F.col("sxd") ** 2 / sxx
     error = F.sqrt(F.greatest(rss, F.lit(0.0)) / (n - 3) / sxx)
@@ -212,15 +214,20 @@ def dickey_fuller(points: DataFrame, min_months: int = 4) -> DataFrame:
 
 def _order_columns(df: DataFrame, p: int) -> DataFrame:
     """Adds a struct ``fit<p>``: coefficients, residuals, AIC; null where the order has no fit."""
-    names = [f"__l{k}" for k in range(p + 1)]
     ok = _fits(F.col("n"), p)
-    step = df.withColumns({name: F.when(ok, arr) for name, arr in zip(names, _lagged(p))})
-    step = step.withColumns({f"{name}m": _mean(F.col(name)) for name in names})
-    step = step.withColumns({f"{name}c": _minus(F.col(name), F.col(f"{name}m")) for name in names})
+    raw = {f"__l{k}": F.when(ok, arr) for k, arr in enumerate(_lagged(p))}
+    step = computed(df, **raw)
+    names = list(raw)
+    step = computed(
+        step,
+        **{f"{name}m": _mean(F.col(name)) for name in names},
+        **{f"{name}c": _centre(F.col(name)) for name in names},
+    )
     c = [F.col(f"__l{k}c") for k in range(p + 1)]
     m = [F.col(f"__l{k}m") for k in range(p + 1)]
-    step = step.withColumns(
-        {f"__s{i}{j}": _dot(c[i], c[j]) for i in range(p + 1) for j in range(max(i, 1), p + 1)}
+    step = computed(
+        step,
+        **{f"__s{i}{j}": _dot(c[i], c[j]) for i in range(p + 1) for j in range(max(i, 1), p + 1)},
     )
     s = lambda i, j: F.col(f"__s{i}{j}")
     if p == 1:
@@ -233,16 +240,16 @@ def _order_columns(df: DataFrame, p: int) -> DataFrame:
             F.when(usable, F.try_divide(s(0, 1) * s(2, 2) - s(0, 2) * s(1, 2), det)),
             F.when(usable, F.try_divide(s(0, 2) * s(1, 1) - s(0, 1) * s(1, 2), det)),
         ]
-    step = step.withColumns({f"__phi{k + 1}": phi for k, phi in enumerate(phis)})
+    step = computed(step, **{f"__phi{k + 1}": phi for k, phi in enumerate(phis)})
     phi = [F.col(f"__phi{k + 1}") for k in range(p)]
     const = m[0]
     for k in range(p):
         const = const - phi[k] * m[k + 1]
-    resid = F.zip_with(c[0], c[1], lambda a, b: a - phi[0] * b)
+    resid = _less(c[0], c[1], phi[0])
     if p == 2:
-        resid = F.zip_with(resid, c[2], lambda a, b: a - phi[1] * b)
-    step = step.withColumn("__const", const).withColumn("__resid", resid)
-    step = step.withColumn("__rss", _dot(F.col("__resid"), F.col("__resid")))
+        resid = _less(resid, c[2], phi[1])
+    step = computed(step, __const=const, __resid=resid)
+    step = computed(step, __rss=_dot(F.col("__resid"), F.col("__resid")))
     n_eff = F.size("__resid")
     rss = F.when(F.col("__rss") > TINY, F.col("__rss"))
     aic = n_eff * (F.log(2 * 3.141592653589793 * rss / n_eff) + 1.0) + 2.0 * (p + 2)
@@ -279,22 +286,22 @@ def fit_ar(points: DataFrame, min_obs: int = MIN_MONTHS) -> DataFrame:
     better_two = F.col("fit2").isNotNull() & (
         F.col("fit1").isNull() | (F.col("fit2.aic") < F.col("fit1.aic"))
     )
-    chosen = both.withColumn(
-        "fit",
-        F.when(F.col("n") >= min_obs, F.when(better_two, F.col("fit2")).otherwise(F.col("fit1"))),
+    chosen = computed(
+        both,
+        fit=F.when(
+            F.col("n") >= min_obs, F.when(better_two, F.col("fit2")).otherwise(F.col("fit1"))
+        ),
     )
     lag = LJUNG_BOX_LAG
     res = F.col("fit.resid")
-    tested = chosen.withColumn(
-        "__g", F.when(F.size(res) > lag, _autocovariances(res, F.lit(lag)))
-    )
+    tested = computed(chosen, __g=F.when(F.size(res) > lag, _autocovariances(res, F.lit(lag))))
     size, g = F.size(res), F.col("__g")
     q = size * (size + 2) * F.aggregate(
         F.sequence(F.lit(1), F.lit(lag)),
         F.lit(0.0),
         lambda acc, k: acc + F.pow(g[k] / g[0], F.lit(2.0)) / (size - k),
     )
-    tested = tested.withColumn("lb_stat_12", F.when(g[0] > TINY, q))
+    tested = computed(tested, lb_stat_12=F.when(g[0] > TINY, q))
     return tested.select(
         "series",
         F.col("dates")[0].alias("first"),

@@ -91,7 +91,12 @@ def bucket_scores(
     return rows.select(*kept, *columns)
 
 
-EXTRACTED = T.StructType.fromDDL("aspect ARRAY<STRING>, sentiment ARRAY<STRING>")
+EXTRACTED = T.StructType(
+    [
+        T.StructField("aspect", T.ArrayType(T.StringType())),
+        T.StructField("sentiment", T.ArrayType(T.StringType())),
+    ]
+)
 
 
 def keyword_scorer(texts: list[str]) -> list[dict[str, list[str]]]:

@@ -22,7 +22,7 @@ def broadcast_limit(spark: SparkSession) -> int:
 
 def size_bound(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan; joins multiply, so derived tables only overstate it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def fits_broadcast(df: DataFrame) -> bool:
