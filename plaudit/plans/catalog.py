@@ -371,7 +371,7 @@ def zscore_vectors(spark, d):
 
 @query
 def top_words(spark, d):
-    return jobs.top_words(standins.table(spark, d, "documents"))
+    return jobs.top_words(standins.documents(spark, d))
 
 
 @query
@@ -464,7 +464,7 @@ def describe_metrics(spark, d):
 
 @query
 def sentence_tokens(spark, d):
-    docs = standins.table(spark, d, "documents")
+    docs = standins.documents(spark, d)
     return docs.select(
         "doc_id", F.posexplode(sentences(F.lower("text"))).alias("pos", "sentence")
     ).select("doc_id", "pos", "sentence", F.size(word_tokens(F.col("sentence"))).alias("tokens"))
@@ -487,7 +487,7 @@ def lexicon_terms(spark, d):
 
 def _words(spark, d):
     """Distinct document words with their number of occurrences."""
-    docs = standins.table(spark, d, "documents")
+    docs = standins.documents(spark, d)
     tokens = docs.select("lang", F.explode(alpha_words(F.col("text"))).alias("word"))
     return tokens.where(F.length("word") > 2).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
 
@@ -505,7 +505,7 @@ def _language_prototypes(spark, d):
 
 @query
 def lemma_counts(spark, d):
-    docs = standins.table(spark, d, "documents").select(F.explode(lemmas(F.col("text"))).alias("lemma"))
+    docs = standins.documents(spark, d).select(F.explode(lemmas(F.col("text"))).alias("lemma"))
     return docs.groupBy("lemma").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scale import join_dimension
+from ..scale import join_dimension, spread_small
 
 _ADJ = ["great", "delicious", "friendly", "slow", "overpriced", "cozy", "bland", "good"]
 _NOUN = ["food", "pizza", "service", "staff", "price", "value", "music", "decor"]
@@ -38,7 +38,13 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews with a templated text that needs the name of the business."""
-    items = table(spark, sf_dir, "lineitem")
+    items = spread_small(
+        table(spark, sf_dir, "lineitem").select(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag",
+            "l_linestatus", "l_shipdate",
+        ),
+        "l_orderkey", "l_linenumber",
+    )
     names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
     joined = join_dimension(
         items, names, "l_partkey", "inner", spread=["l_orderkey", "l_linenumber", "l_suppkey"]
@@ -67,6 +73,11 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return spread_small(docs, "doc_id")
+
+
 def business(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("business_id"),
