@@ -13,7 +13,7 @@ from .vocab import GRAM_SIZES, STOP_WORDS
 
 def strip(text: Column) -> Column:
     """Trim any white space, not only blanks."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\u000b\f\r"))
 
 
 def alpha_words(text: Column) -> Column:

@@ -320,7 +320,7 @@ def weight_var_corr(spark, d):
 
 
 def _vectors(spark, d):
-    return jobs.restaurant_vectors(standins.reviews(spark, d))
+    return jobs.restaurant_vectors(standins.reviews(spark, d), ratings=standins.ratings(spark, d))
 
 
 @query
@@ -352,14 +352,14 @@ def review_aspect_scores(spark, d):
 def weighted_scores(spark, d):
     scored = materialize(_scored(spark, d), "scored")
     places = standins.business(spark, d).select("business_id", F.col("stars").alias("biz_stars"))
-    weights = credibility.reviewer_weights(scored, "review")
+    weights = materialize(credibility.reviewer_weights(scored, "review"), "weights")
     return vectors.weighted_scores(scored, weights, places).drop("review_ts")
 
 
 @query
 def business_aspect_scores(spark, d):
     scored = materialize(_scored(spark, d), "scored")
-    weights = credibility.reviewer_weights(scored, "review")
+    weights = materialize(credibility.reviewer_weights(scored, "review"), "weights")
     return vectors.business_aspect_scores(scored, weights, 3).where(F.col("aspect").isNotNull())
 
 

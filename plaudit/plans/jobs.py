@@ -98,7 +98,7 @@ def absa(
     """Text to sentence scores, user weights, weighted scores and business scores."""
     found = materialize(extract(reviews, nouns=nouns), "pairs")
     scored = materialize(score_sentences(map_aspects(found, prototypes), polarity), "scored")
-    weights = credibility.reviewer_weights(scored, grain)
+    weights = materialize(credibility.reviewer_weights(scored, grain), "weights")
     stars = None
     if business is not None:
         stars = business.select("business_id", F.col("stars").alias("biz_stars"))
@@ -114,10 +114,19 @@ def absa(
 # --- review-level lexicon sentiment, vectors and clusters -------------------------------------
 
 
-def restaurant_vectors(reviews: DataFrame, min_reviews: int = 10) -> DataFrame:
-    """Text to business vectors: lexicon scores weighted by the credibility of their authors."""
+def restaurant_vectors(
+    reviews: DataFrame, min_reviews: int = 10, ratings: DataFrame | None = None
+) -> DataFrame:
+    """Text to business vectors: lexicon scores weighted by the credibility of their authors.
+
+    The weights are stored first: their size is then known to the join that uses them.
+    ``ratings`` may give the same reviews without their text, where that is cheaper to read.
+    """
     scored = lexicon.score_reviews(reviews, with_terms=False)
-    return vectors.business_vectors(scored, credibility.reviewer_weights(reviews), min_reviews)
+    weights = materialize(
+        credibility.reviewer_weights(reviews if ratings is None else ratings), "weights"
+    )
+    return vectors.business_vectors(scored, weights, min_reviews)
 
 
 def absa_lexicon(
@@ -127,7 +136,9 @@ def absa_lexicon(
     flat = absa_flat(absa_ready(reviews, business, users), business)
     chosen = hash_ordered_sample(flat, "review_id", sample) if sample else flat
     scored = materialize(lexicon.score_reviews(chosen), "absa-scored")
-    weights = credibility.reviewer_weights(scored.withColumnRenamed("review_stars", "stars"))
+    weights = materialize(
+        credibility.reviewer_weights(scored.withColumnRenamed("review_stars", "stars")), "weights"
+    )
     return {"scored": scored, "vectors": vectors.business_vectors(scored, weights, min_reviews)}
 
 

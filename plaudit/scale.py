@@ -43,9 +43,15 @@ def spread_small(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
-def heavy_keys(rows: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE) -> DataFrame:
-    """Distinct key values holding more than ``share`` of the rows (at most ``1 / share``)."""
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+def heavy_keys(
+    rows: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE, count: str | None = None
+) -> DataFrame:
+    """Distinct key values holding more than ``share`` of the rows (at most ``1 / share``).
+
+    ``count`` names a column of ``rows`` that already counts them, one row per key.
+    """
+    n = F.count(F.lit(1)) if count is None else F.sum(count)
+    counts = rows.groupBy(*keys).agg(n.alias("__n"))
     total = counts.agg(F.sum("__n")).scalar()
     return counts.where(F.col("__n") > total * F.lit(share)).select(*keys)
 
@@ -57,6 +63,7 @@ def join_dimension(
     how: str = "left",
     spread: Sequence[str] | None = None,
     key_rows: DataFrame | None = None,
+    key_count: str | None = None,
 ) -> DataFrame:
     """Equi-join of many ``fact`` rows to one ``dim`` row per key, safe against heavy keys.
 
@@ -64,15 +71,17 @@ def join_dimension(
     Beyond it, rows of heavy keys (and null keys) are spread over ``SALTS`` partitions, and only
     the heavy ``dim`` rows are copied to match.  The salt is a hash of the ``spread`` columns, so
     a re-run of a lost task sends each row to the same place.  ``key_rows`` may name a cheaper
-    table with the same key distribution for finding the heavy keys.
+    table with the same key distribution for finding the heavy keys, or, with ``key_count``, a
+    table that already counts them.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if how not in ("left", "inner", "left_semi"):
         raise ValueError(f"join_dimension keeps fact rows; how={how!r} is not supported")
     if fits_broadcast(dim):
         return fact.join(dim, keys, how)
+    counted = key_rows if key_rows is not None else fact
     heavy = F.broadcast(
-        heavy_keys(key_rows if key_rows is not None else fact, keys).withColumn(_HEAVY, F.lit(True))
+        heavy_keys(counted, keys, count=key_count).withColumn(_HEAVY, F.lit(True))
     )
     row_hash = F.pmod(F.xxhash64(*(spread or fact.columns)), F.lit(SALTS)).cast("int")
     no_key = F.lit(False)
