@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import join_dimension
-
 ASPECTS = ("food", "service", "price", "amb")
 
 
@@ -42,11 +40,11 @@ def silhouette(clustered: DataFrame) -> float:
 
 
 def describe_clusters(clustered: DataFrame, business: DataFrame) -> DataFrame:
-    """Clustered vectors with the metadata of their business."""
+    """Clustered vectors with the metadata of their business: one row per business on both sides."""
     meta = business.select(
         "business_id", "name", "city", "state", "categories", "stars", "review_count"
     )
-    return join_dimension(clustered, meta, "business_id")
+    return clustered.join(meta, "business_id", "left")
 
 
 def cluster_profile(clustered: DataFrame, columns: Sequence[str] = ASPECTS) -> DataFrame:

@@ -109,8 +109,13 @@ def absa_ready(
     return select_present(joined, keep)
 
 
-def absa_flat(ready: DataFrame, business: DataFrame) -> DataFrame:
-    """Adds business metadata under names that do not clash; text in lower case."""
+def absa_flat(
+    ready: DataFrame, business: DataFrame, key_rows: DataFrame | None = None
+) -> DataFrame:
+    """Adds business metadata under names that do not clash; text in lower case.
+
+    ``key_rows``: a cheaper table with the business of each row, for finding heavy keys.
+    """
     places = select_present(
         business,
         [
@@ -120,7 +125,7 @@ def absa_flat(ready: DataFrame, business: DataFrame) -> DataFrame:
     )
     renamed = ready.withColumnsRenamed({"stars": "review_stars", "review_count": "user_review_count"})
     spread = ["review_id"] if "review_id" in ready.columns else None
-    joined = join_dimension(renamed, places, "business_id", spread=spread)
+    joined = join_dimension(renamed, places, "business_id", spread=spread, key_rows=key_rows)
     keep = [
         "review_id", "business_id", "name", "city", "state", "categories", "review_stars",
         "user_review_count", "average_stars", "text", "date", "review_ts", "user_id", "latitude",

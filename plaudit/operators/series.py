@@ -189,22 +189,48 @@ def _fits(n: Column, p: int) -> Column:
     return n > p + 2
 
 
-def dickey_fuller(points: DataFrame, min_months: int = 4) -> DataFrame:
-    """(series, n, rho, t_stat): the regression of the first difference on the lagged level with a
-    constant, no further lags."""
-    arrays = as_arrays(points).where(F.col("n") >= min_months)
+def dickey_fuller(points: DataFrame, lags: int = 0) -> DataFrame:
+    """(series, n, rho, t_stat) of the unit-root regression with a constant.
+
+    The first difference on the lagged level and, with ``lags=1``, on the previous difference.
+    Too short or constant series have no statistic.
+    """
+    arrays = as_arrays(points).where(F.col("n") >= 5 + lags)
     y, n = F.col("y"), F.col("n")
-    before = F.slice(y, F.lit(1), n - 1)
-    change = F.zip_with(F.slice(y, F.lit(2), n - 1), before, lambda a, b: a - b)
-    sets = computed(arrays.select("series", "n", "y"), x=_centre(before), d=_centre(change))
-    x, d = F.col("x"), F.col("d")
-    sums = computed(sets, sxx=_dot(x, x), sxd=_dot(x, d), sdd=_dot(d, d))
-    sxx = F.when(F.col("sxx") > TINY, F.col("sxx"))
-    rss = F.col("sdd") - F.col("sxd") ** 2 / sxx
-    error = F.sqrt(F.greatest(rss, F.lit(0.0)) / (n - 3) / sxx)
-    slope = F.col("sxd") / sxx
+    change = F.zip_with(
+        F.slice(y, F.lit(2), n - 1), F.slice(y, F.lit(1), n - 1), lambda a, b: a - b
+    )
+    size = n - 1 - lags
+    steps = computed(arrays, change=change)
+    parts = {
+        "d": _centre(F.slice("change", F.lit(1 + lags), size)),
+        "x": _centre(F.slice(y, F.lit(1 + lags), size)),
+    }
+    if lags:
+        parts["z"] = _centre(F.slice("change", F.lit(1), size))
+    sets = computed(steps, **parts).select("series", "n", *parts)
+    names = list(parts)
+    sums = computed(
+        sets,
+        **{f"{a}{b}": _dot(F.col(a), F.col(b)) for i, a in enumerate(names) for b in names[i:]},
+    )
+    if lags:
+        det = F.col("xx") * F.col("zz") - F.col("xz") ** 2
+        usable = F.when(det > TINY * F.col("xx") * F.col("zz"), det)
+        slope = (F.col("dx") * F.col("zz") - F.col("dz") * F.col("xz")) / usable
+        other = (F.col("dz") * F.col("xx") - F.col("dx") * F.col("xz")) / usable
+        rss = F.col("dd") - slope * F.col("dx") - other * F.col("dz")
+        scale = F.col("zz") / usable
+    else:
+        usable = F.when(F.col("xx") > TINY, F.col("xx"))
+        slope = F.col("dx") / usable
+        rss = F.col("dd") - slope * F.col("dx")
+        scale = 1.0 / usable
+    error = F.sqrt(F.greatest(rss, F.lit(0.0)) / (size - 2 - lags) * scale)
     return sums.select(
-        "series", "n", slope.alias("rho"),
+        "series",
+        "n",
+        slope.alias("rho"),
         F.when(error > TINY, F.try_divide(slope, error)).alias("t_stat"),
     )
 

@@ -421,6 +421,11 @@ def df_tstat(spark, d):
     return series.dickey_fuller(_points(spark, d))
 
 
+@query
+def df_tstat_lag1(spark, d):
+    return series.dickey_fuller(_points(spark, d), lags=1)
+
+
 def _fits(spark, d):
     return series.fit_ar(_points(spark, d))
 

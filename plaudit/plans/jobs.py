@@ -77,7 +77,9 @@ def map_aspects(
     found: DataFrame, prototypes: vocab.Vocabulary = vocab.PROTOTYPES, mode: str = "word"
 ) -> DataFrame:
     terms = mapping.term_counts(found).select("term")
-    labels = mapping.assign_labels(terms, vocab.prototype_table(found.sparkSession, prototypes))
+    labels = materialize(
+        mapping.assign_labels(terms, vocab.prototype_table(found.sparkSession, prototypes)), "labels"
+    )
     return mapping.apply_mapping(found, labels, "aspect_seed", prototypes, mode)
 
 
@@ -133,7 +135,8 @@ def absa_lexicon(
     reviews: DataFrame, business: DataFrame, users: DataFrame, sample: int | None = None,
     min_reviews: int = 10,
 ) -> dict[str, DataFrame]:
-    flat = absa_flat(absa_ready(reviews, business, users), business)
+    keys = reviews.select("business_id")
+    flat = absa_flat(absa_ready(reviews, business, users), business, keys)
     chosen = hash_ordered_sample(flat, "review_id", sample) if sample else flat
     scored = materialize(lexicon.score_reviews(chosen), "absa-scored")
     weights = materialize(

@@ -712,6 +712,12 @@ SELECT series, n, {_r('b')} AS rho, {_r('b / sqrt(rss / (k - 2) / sxx)')} AS t_s
   SELECT series, any_value(n) AS n, count(*) AS k, regr_slope(y - y1, y1) AS b, regr_sxx(y - y1, y1) AS sxx,
          regr_syy(y - y1, y1) - regr_sxy(y - y1, y1) ** 2 / regr_sxx(y - y1, y1) AS rss
   FROM lagged WHERE t > 1 GROUP BY series)""",
+    "df_tstat_lag1": f"""
+SELECT series, n, {_r('b')} AS rho, {_r('b / sqrt((sdd - b * sdx - g * sdz) * m / (m - 3) * szz / (sxx * szz - sxz * sxz) / m)')} AS t_stat FROM (
+  SELECT *, (sdx * szz - sdz * sxz) / (sxx * szz - sxz * sxz) AS b, (sdz * sxx - sdx * sxz) / (sxx * szz - sxz * sxz) AS g FROM (
+    SELECT series, any_value(n) AS n, count(*) AS m, var_pop(y - y1) AS sdd, covar_pop(y - y1, y1) AS sdx,
+           covar_pop(y - y1, y1 - y2) AS sdz, var_pop(y1) AS sxx, covar_pop(y1, y1 - y2) AS sxz, var_pop(y1 - y2) AS szz
+    FROM lagged WHERE t > 2 GROUP BY series))""",
     "ar_fit": f"SELECT series, first, last, true AS ok, best_order, {_r('aic')} AS aic, n_obs, {_r('phi1')} AS phi1, {_r('phi2')} AS phi2, {_r('sigma2_resid')} AS sigma2_resid FROM fits",
     "ar_fitted": f"SELECT series, date, {_r('y')} AS y, {_r('fitted')} AS fitted FROM resids",
     "ljung_box": f"SELECT series, {_r('q')} AS lb_stat_12, {_r('p')} AS lb_pvalue_12 FROM lb_p",
