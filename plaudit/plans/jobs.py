@@ -76,7 +76,7 @@ def extract(
 def map_aspects(
     found: DataFrame, prototypes: vocab.Vocabulary = vocab.PROTOTYPES, mode: str = "word"
 ) -> DataFrame:
-    terms = mapping.term_counts(found).select("term")
+    terms = materialize(mapping.term_counts(found).select("term"), "terms")
     labels = materialize(
         mapping.assign_labels(terms, vocab.prototype_table(found.sparkSession, prototypes)), "labels"
     )

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A key is heavy when it holds more than this share of the rows.  At most 1 / HEAVY_SHARE keys
 # can be heavy, whatever the data: that bound is what allows the heavy keys to be broadcast.
@@ -83,7 +84,8 @@ def join_dimension(
     heavy = F.broadcast(
         heavy_keys(counted, keys, count=key_count).withColumn(_HEAVY, F.lit(True))
     )
-    row_hash = F.pmod(F.xxhash64(*(spread or fact.columns)), F.lit(SALTS)).cast("int")
+    hashable = [f.name for f in fact.schema.fields if not isinstance(f.dataType, T.MapType)]
+    row_hash = F.pmod(F.xxhash64(*(spread or hashable)), F.lit(SALTS)).cast("int")
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()
