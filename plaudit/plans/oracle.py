@@ -488,7 +488,7 @@ SELECT *, m0 - p1 * m1 - p2 * m2 AS c,
       FROM lagged WHERE t > 2 GROUP BY series)))"""
 
 _CTES["fits"] = """
-SELECT series, CASE WHEN b.aic < a.aic THEN 2 ELSE 1 END AS best_order, least(a.aic, b.aic) AS aic,
+SELECT series, CAST(CASE WHEN b.aic < a.aic THEN 2 ELSE 1 END AS BIGINT) AS best_order, least(a.aic, b.aic) AS aic,
        CASE WHEN b.aic < a.aic THEN b.p1 ELSE a.p1 END AS phi1,
        CASE WHEN b.aic < a.aic THEN b.p2 END AS phi2,
        CASE WHEN b.aic < a.aic THEN b.c ELSE a.c END AS const,
@@ -672,7 +672,7 @@ WHERE n_reviews >= 5 AND user_id IN (SELECT user_id FROM ratings GROUP BY user_i
     "opinion_sentiment": "SELECT review_id, sentence, aspect_seed, aspect_opinion, aspect_negated, aspect, sentiment FROM sentiments",
     "review_aspect_scores": f"SELECT review_id, sentence, user_id, business_id, stars, aspect, positive_aspect_count, negative_aspect_count, {_r('positive_aspect_ratio')} AS positive_aspect_ratio FROM scored",
     "weighted_scores": f"""
-SELECT s.business_id, s.stars AS review_stars, review_id, s.user_id, sentence AS text, 1 AS review_count, aspect,
+SELECT s.business_id, s.stars AS review_stars, review_id, s.user_id, sentence AS text, CAST(1 AS BIGINT) AS review_count, aspect,
        {_r('w * positive_aspect_ratio - avg(w * positive_aspect_ratio) OVER ()')} AS sentiment_score,
        {_r('w * positive_aspect_ratio')} AS sentiment_score_before_normalization,
        positive_aspect_count AS positive_aspect_count_sum, negative_aspect_count AS negative_aspect_count_sum,
