@@ -6,13 +6,13 @@ WITH RECURSIVE
 lowered AS (
   SELECT doc_id, list_filter(
     string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
-    x -> x <> '') AS w
+    lambda x: x <> '') AS w
   FROM documents),
 sets AS (
   SELECT doc_id, CASE
     WHEN len(w) = 0 THEN []
     WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
     END AS s
   FROM lowered),
 ids AS (SELECT doc_id, hash(unnest(s)) AS g FROM sets),
