@@ -33,4 +33,23 @@ FROM sets s LEFT JOIN reached r ON r.a = s.doc_id
 GROUP BY s.doc_id, s.s
 """
 
-SQL: dict[str, str] = {"op9_ngram_jaccard": NGRAM_JACCARD}
+# Turns in order; the template adds 8 + 8 + 8 characters to each turn, escapes add their own.
+CHAT = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized AS (
+  SELECT *, length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 24 AS n
+  FROM turns),
+joined AS (
+  SELECT conv_id, count(*) AS n_turns, sum(n) AS chars,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS learnt
+  FROM sized GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(learnt) AS BIGINT) AS loss_chars,
+  sha256(learnt) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars
+FROM joined
+"""
+
+SQL: dict[str, str] = {"op3_chat_formatting": CHAT, "op9_ngram_jaccard": NGRAM_JACCARD}

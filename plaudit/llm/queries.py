@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plaudit.llm import jaccard, packing, quality, secrets, toxicity
+import corpus_pipeline
+from plaudit.llm import chat, jaccard, packing, quality, secrets, toxicity
 from plaudit.llm.batches import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,14 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With one more conversation whose texts look like control strings."""
+    odd = r"\### Assistant: </turn> ok"
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.as_chains(rows.unionByName(more)))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
 
@@ -33,5 +42,5 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_secret_scans, op4_quality_rules, op5_best_fit_packing, op7_toxicity, op9_ngram_jaccard)
-}
+    f.__name__: f for f in (op1_secret_scans, op3_chat_formatting, op4_quality_rules, op5_best_fit_packing, op7_toxicity, op9_ngram_jaccard)
+} | {"pipeline": corpus_pipeline.run}
