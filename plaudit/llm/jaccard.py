@@ -8,9 +8,11 @@ segments that must agree exactly count one, segments that may miss one shingle c
 as soon as the counts add up to d + 1 any two partners agree in some segment (pigeonhole).
 ``allocate`` picks for each band the mix that costs least, from the number of sets in the band.
 
-Sets that agree in a segment are candidates.  To avoid all pairs of a group, each group is first
-checked against its best-connected member; only pairs that are then still in different components
-are checked one by one.  Every check intersects the whole sets.
+Sets that agree in a segment are candidates, and candidates form clusters.  To avoid all pairs of
+a cluster, each set is first checked against the best-connected set it met; that joins most of a
+group of copies.  Where a cluster is then still in several components, its sets are dealt into
+blocks and each two blocks are counted against each other in one task, by products of incidence
+matrices; only links leave the task.  Every check counts the intersection of whole sets.
 
 Contract: null or empty texts have an empty set and link with nothing.  Equal sets are one class,
 whatever their number, and count as linked.  Rows that share a doc_id count as one document.  A
@@ -33,7 +35,8 @@ from plaudit.llm.components import components
 from plaudit.llm.shingles import mix, words_of
 from plaudit.session import materialize
 
-CENTRAL_ROUNDS = 2
+BLOCK = 128  # sets of a cluster that are counted against as many others at once
+COLUMNS = 8192
 
 
 @dataclass(frozen=True)
@@ -66,8 +69,8 @@ def allocate(size: int, differences: int, sets: int, candidate: float = 4.0) ->
     def cost(near: int) -> float:
         exact = differences + 1 - 2 * near
         width = size / (exact + near)
-        empty = sets * exp(-width)
-        return exact + near * (1 + width) + candidate * empty * (exact + near * (1 + width))
+        both_empty = sets * exp(-2 * width)
+        return exact + near * (1 + width) + candidate * both_empty * (exact + near)
 
     near = min(range((differences + 1) // 2 + 1), key=cost)
     return differences + 1 - 2 * near, near
@@ -92,8 +95,10 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
 
 
 def set_key(shingles: np.ndarray, seed: int) -> int:
+    """A 64-bit key of a set; the lowest bit is left free for a mark."""
     with np.errstate(over="ignore"):
-        return int(mix(mix(shingles, seed).sum(dtype=np.uint64).reshape(1), seed)[0].view(np.int64))
+        total = mix(mix(shingles, seed).sum(dtype=np.uint64).reshape(1), seed)
+        return int(total.view(np.int64)[0]) & ~1
 
 
 def signatures(shingles: np.ndarray, band: int, exact: int, near: int) -> np.ndarray:
@@ -135,15 +140,19 @@ def describe(docs: DataFrame, by: Similarity) -> DataFrame:
 
 
 def index(docs: DataFrame, by: Similarity, plan: dict[int, tuple[int, int]], edges: list[int]) -> DataFrame:
-    """(sig, k1, n): the signatures of every set, once per set and task."""
-    schema = pa.schema([("sig", pa.int64()), ("k1", pa.int64()), ("n", pa.int32())])
+    """(sig, owner): the signatures of every set, once per set and task.
+
+    ``owner`` is k1, its lowest bit set under the set's own band.
+    """
+    schema = pa.schema([("sig", pa.int64()), ("owner", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for part in groups_by_size([len(t) for t in texts_of(batch)]):
-                keys, owners, sizes = [], [], []
-                for s in shingle_sets(texts_of(batch)[part], by.words):
+            texts = texts_of(batch)
+            for part in groups_by_size([len(t) for t in texts]):
+                keys, owners = [], []
+                for s in shingle_sets(texts[part], by.words):
                     key = set_key(s, 11)
                     if not len(s) or key in seen:
                         continue
@@ -152,18 +161,15 @@ def index(docs: DataFrame, by: Similarity, plan: dict[int, tuple[int, int]], edg
                     for scheme in (band, band + 1):
                         if scheme in plan:
                             keys.append(signatures(s, scheme, *plan[scheme]))
-                            owners.append(key)
-                            sizes.append(len(s))
+                            owners.append(key | (scheme == band))
                 if keys:
-                    counts = [len(k) for k in keys]
                     yield rows(
                         schema,
                         sig=np.concatenate(keys).view(np.int64),
-                        k1=np.repeat(np.array(owners, np.int64), counts),
-                        n=np.repeat(np.array(sizes, np.int32), counts),
+                        owner=np.repeat(np.array(owners, np.int64), [len(k) for k in keys]),
                     )
 
-    return map_tasks(docs.select("text"), task, "sig long, k1 long, n int")
+    return map_tasks(docs.select("text"), task, "sig long, owner long")
 
 
 def band_plan(sets: DataFrame, by: Similarity) -> tuple[dict[int, tuple[int, int]], list[int]]:
@@ -184,119 +190,161 @@ def band_plan(sets: DataFrame, by: Similarity) -> tuple[dict[int, tuple[int, int
 
 
 def stored_sets(docs: DataFrame, wanted: DataFrame, by: Similarity) -> DataFrame:
-    """(k1, a, shingles) of the wanted classes (k1, a: their document), hashes as bytes."""
-    schema = pa.schema([("k1", pa.int64()), ("a", pa.int64()), ("shingles", pa.binary())])
+    """``wanted`` (a, k1, lead, leads) with the hashes of each set as bytes, ``shingles``."""
+    schema = pa.schema(
+        [("a", pa.int64()), ("lead", pa.int64()), ("leads", pa.bool_()), ("shingles", pa.binary())]
+    )
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(texts_of(batch), by.words)
-            yield rows(
-                schema,
-                k1=[set_key(s, 11) for s in sets],
-                a=column_of(batch, "doc_id"),
-                shingles=[s.tobytes() for s in sets],
-            )
-
-    some = docs.select("doc_id", "text").join(
-        wanted.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi"
-    )
-    found = map_tasks(some, task, "k1 long, a long, shingles binary")
+            keys = column_of(batch, "k1").to_pylist()
+            same = pa.array([set_key(s, 11) == k for s, k in zip(sets, keys)], pa.bool_())
+            held = pa.array([s.tobytes() for s in sets], pa.binary())
+            columns = [column_of(batch, n) for n in ("a", "lead", "leads")]
+            yield pa.RecordBatch.from_arrays([*columns, held], schema=schema).filter(same)
+
+    texts = docs.select(F.col("doc_id").alias("a"), "text").join(wanted, "a")
+    found = map_tasks(texts, task, "a long, lead long, leads boolean, shingles binary")
     return materialize(found, "sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, by: Similarity) -> DataFrame:
-    """Of candidate pairs (k1, a, k1b, b) those whose whole sets link, as (a, b)."""
+def enough(both: np.ndarray, p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
+    """Whether intersections reach the similarity, given the sizes of the sets."""
+    return both * (100 + percent) >= percent * (p + q)
+
+
+def star_links(sets: DataFrame, by: Similarity) -> DataFrame:
+    """(a, b): sets that link with their lead."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    need = 100 + by.percent
 
     def links(x: bytes, y: bytes) -> bool:
         p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        spot = np.minimum(np.searchsorted(q, p), max(len(q) - 1, 0))
-        both = int((q[spot] == p).sum()) if len(q) else 0
-        return both * need >= by.percent * (len(p) + len(q))
+        spot = np.minimum(np.searchsorted(q, p), len(q) - 1)
+        return bool(enough((q[spot] == p).sum(), len(p), len(q), by.percent))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [
-                links(x, y)
-                for x, y in zip(
-                    column_of(batch, "shingles").to_pylist(), column_of(batch, "other").to_pylist()
-                )
-            ]
-            kept = batch.filter(pa.array(ok, pa.bool_()))
-            yield rows(schema, a=column_of(kept, "a"), b=column_of(kept, "b"))
-
-    other = sets.select(
-        F.col("k1").alias("k1b"), F.col("a").alias("b"), F.col("shingles").alias("other")
+            mine, other = (column_of(batch, n).to_pylist() for n in ("shingles", "other"))
+            kept = batch.filter(pa.array([links(x, y) for x, y in zip(mine, other)], pa.bool_()))
+            yield rows(schema, a=column_of(kept, "a"), b=column_of(kept, "lead"))
+
+    leads = sets.where("leads").select(F.col("a").alias("lead"), F.col("shingles").alias("other"))
+    both = sets.where("lead is not null").select("a", "lead", "shingles").join(leads, "lead")
+    return map_tasks(both, task, "a long, b long")
+
+
+def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``x`` with every set of ``y``."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    common = np.intersect1d(np.unique(np.concatenate(x)), np.unique(np.concatenate(y)))
+    for start in range(0, len(common), COLUMNS):
+        some = common[start : start + COLUMNS]
+        sides = []
+        for sets in (x, y):
+            table = np.zeros((len(sets), len(some)), np.float32)
+            for i, s in enumerate(sets):
+                inside = s[np.searchsorted(s, some[0]) : np.searchsorted(s, some[-1], "right")]
+                spot = np.minimum(np.searchsorted(some, inside), len(some) - 1)
+                table[i, spot[some[spot] == inside]] = 1
+            sides.append(table)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def block_links(members: DataFrame, by: Similarity) -> DataFrame:
+    """(a, b): links between the members (a, cluster, size, root, shingles) of each cluster that
+    are in different components.
+
+    A cluster of n sets has n / BLOCK blocks; a set goes to as many tasks as there are blocks.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("a"), blocks.cast("long")).cast("int")
+    dealt = members.withColumn("own", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), blocks - 1))
+    ).select(
+        "cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+        "a", "own", "root", "shingles",
     )
-    whole = pairs.join(sets, ["k1", "a"]).join(other, ["k1b", "b"])
-    return map_tasks(whole.select("a", "b", "shingles", "other"), task, "a long, b long")
-
-
-def _close(percent: int, x: str, y: str):
-    """Sizes that can link at all."""
-    return (F.col(x) * percent <= F.col(y) * 100) & (F.col(y) * percent <= F.col(x) * 100)
-
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-def links_between(docs: DataFrame, sets: DataFrame, by: Similarity) -> DataFrame:
-    """(node, root): components over the smallest documents of the classes of equal sets."""
-    plan, edges = band_plan(sets, by)
-    classes = materialize(
-        sets.where("n_shingles > 0 and doc_id is not null")
-        .groupBy("k1", "k2").agg(F.min("doc_id").alias("a"), F.first("n_shingles").alias("n")),
-        "classes",
-    ).select("k1", "a", "n")
+    def task(group: pa.Table) -> pa.Table:
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        side = np.array(group.column("own"))
+        ids, root = np.array(group.column("a")), np.array(group.column("root"))
+        sets = [np.frombuffer(b, np.uint64) for b in group.column("shingles").to_pylist()]
+        first, second = np.flatnonzero(side == low), np.flatnonzero(side == high)
+        if not len(first) or not len(second):
+            return schema.empty_table()
+        sizes = np.array([len(s) for s in sets])
+        both = intersections([sets[i] for i in first], [sets[i] for i in second])
+        ok = enough(both, sizes[first][:, None], sizes[second][None, :], by.percent)
+        ok &= root[first][:, None] != root[second][None, :]
+        i, j = np.nonzero(ok)
+        return pa.table({"a": ids[first[i]], "b": ids[second[j]]}, schema=schema)
+
+    return dealt.groupBy("cluster", "low", "high").applyInArrow(task, "a long, b long")
+
+
+def candidates(docs: DataFrame, classes: DataFrame, by: Similarity, plan: dict, edges: list[int]) -> DataFrame:
+    """(k1, a, k1b, b, score): sets that share a signature with the best-connected set b of it."""
     group = Window.partitionBy("sig")
+    own = F.col("owner").bitwiseAND(1)
     shared = materialize(
         index(docs, by, plan, edges)
         .withColumn("met", F.count(F.lit(1)).over(group))
-        .where("met > 1").distinct().join(classes.select("k1", "a"), "k1"),
+        .withColumn("any_own", F.max(own).over(group))
+        # Two sets of a lower band meet under their own band as well.
+        .where("met > 1 and any_own = 1")
+        .select("sig", F.col("owner").bitwiseAND(~1).alias("k1"), own.alias("own"), "met"),
         "shared",
     )
-    central = materialize(
-        shared.groupBy("a").agg(F.sum("met").alias("score")), "central"
+    score = shared.groupBy("k1").agg(F.sum("met").alias("score"))
+    lead = F.max(F.struct("own", "score", "k1")).over(group)
+    stars = (
+        shared.join(score, "k1").withColumn("lead", lead).where("k1 <> lead.k1")
+        .groupBy("k1", F.col("lead.k1").alias("k1b")).agg(F.max("lead.score").alias("score"))
     )
-    wanted = classes.join(central.select("a"), "a", "left_semi").select("k1", "a")
-    bodies = stored_sets(docs, wanted, by)
-    shared = materialize(shared.join(central, "a"), "scored")
-    roots = central.select(F.col("a").alias("node"), F.col("a").alias("root"))
-    seen = None
-    linked = None
-    rank = F.struct("score", F.xxhash64("a").alias("h"), "k1", "a", "n", "root")
-    open_ = shared
-    for turn in range(CENTRAL_ROUNDS + 1):
-        now = open_.join(roots.withColumnRenamed("node", "a"), "a")
-        ends = now.groupBy("sig").agg(
-            F.max(rank).alias("lead"), F.min("root").alias("r0"), F.max("root").alias("r1")
-        ).where("r0 <> r1")
-        mixed = materialize(now.join(ends.select("sig", "lead"), "sig"), "mixed")
-        if mixed.isEmpty():
-            break
-        if turn < CENTRAL_ROUNDS:
-            pairs = mixed.where("root <> lead.root").select(
-                "k1", "a", "n", F.col("lead.k1").alias("k1b"), F.col("lead.a").alias("b"),
-                F.col("lead.n").alias("nb"),
-            )
-            open_ = mixed.where("a <> lead.a or k1 <> lead.k1").drop("lead", "root")
-        else:
-            other = mixed.select(
-                "sig", F.col("k1").alias("k1b"), F.col("a").alias("b"), F.col("n").alias("nb"),
-                F.col("root").alias("rootb"),
-            )
-            pairs = mixed.join(other, "sig").where("a < b and root <> rootb")
-        pairs = pairs.where(_close(by.percent, "n", "nb")).groupBy("k1", "a", "k1b", "b").agg(
-            F.count(F.lit(1)).alias("segments")
+    other = classes.select(F.col("k1").alias("k1b"), F.col("a").alias("b"))
+    return materialize(stars.join(classes.select("k1", "a"), "k1").join(other, "k1b").where("a <> b"), "stars")
+
+
+def links_between(docs: DataFrame, sets: DataFrame, by: Similarity) -> DataFrame | None:
+    """(node, root): components over the smallest documents of the classes of equal sets.
+
+    None when no two sets share a signature.
+    """
+    plan, edges = band_plan(sets, by)
+    classes = (
+        sets.where("n_shingles > 0 and doc_id is not null")
+        .groupBy("k1", "k2").agg(F.min("doc_id").alias("a"))
+    )
+    stars = candidates(docs, classes, by, plan, edges)
+    if stars.isEmpty():
+        return None
+    best = F.max(F.struct("score", "b")).alias("best")
+    wanted = (
+        stars.groupBy("k1", "a").agg(best)
+        .select("k1", "a", F.col("best.b").alias("lead"), F.lit(False).alias("leads"))
+        .union(
+            stars.groupBy("k1", "a").agg(best).join(
+                stars.select(F.col("b"), F.col("k1b")).distinct(), F.col("best.b") == F.col("b")
+            ).select("k1b", "b", F.lit(None).cast("long"), F.lit(True)).distinct()
         )
-        if seen is not None:
-            pairs = pairs.join(seen, ["k1", "a", "k1b", "b"], "left_anti")
-        pairs = materialize(pairs.drop("segments"), "pairs")
-        seen = pairs if seen is None else seen.union(pairs)
-        new = materialize(verified(pairs, bodies, by), "links")
-        linked = new if linked is None else linked.union(new)
-        roots = central.select(F.col("a").alias("node")).join(
-            components(linked), "node", "left"
-        ).select("node", F.coalesce("root", "node").alias("root"))
-    return roots
+        .groupBy("k1", "a").agg(F.max("lead").alias("lead"), F.max("leads").alias("leads"))
+    )
+    bodies = stored_sets(docs, wanted, by)
+    linked = materialize(star_links(bodies, by), "links")
+    clusters = components(stars)
+    roots = clusters.select(F.col("node").alias("a"), F.col("root").alias("cluster")).join(
+        components(linked).withColumnRenamed("node", "a"), "a", "left"
+    ).withColumn("root", F.coalesce("root", "a"))
+    open_ = roots.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")
+    ).where("size > 2 and r0 <> r1").select("cluster", "size")
+    members = bodies.select("a", "shingles").join(roots.join(open_, "cluster"), "a")
+    more = materialize(block_links(members, by), "links")
+    return components(linked.union(more))
 
 
 def near_groups(docs: DataFrame, by: Similarity = Similarity()) -> DataFrame:
@@ -304,7 +352,10 @@ def near_groups(docs: DataFrame, by: Similarity = Similarity()) -> DataFrame:
     sets = materialize(describe(docs, by), "described")
     roots = links_between(docs, sets, by)
     classes = sets.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
-    rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if roots is None:
+        rooted = classes.withColumn("root", F.col("node"))
+    else:
+        rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy("root").agg(F.min("node").alias("component"))
     named = rooted.join(lowest, "root").select("k1", "k2", "component")
     return sets.join(named, ["k1", "k2"], "left").select(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from plaudit.llm import chat, jaccard, packing, quality, secrets, toxicity
+from plaudit.llm import bpe, chat, jaccard, packing, quality, secrets, toxicity
 from plaudit.llm.batches import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
+def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -42,5 +46,5 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_secret_scans, op3_chat_formatting, op4_quality_rules, op5_best_fit_packing, op7_toxicity, op9_ngram_jaccard)
+    f.__name__: f for f in (op1_secret_scans, op3_chat_formatting, op4_quality_rules, op5_best_fit_packing, op6_bpe_tree, op7_toxicity, op9_ngram_jaccard)
 } | {"pipeline": corpus_pipeline.run}

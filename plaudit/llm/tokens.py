@@ -27,8 +27,10 @@ _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 # A run of blanks gives all but its last blank as one stretch; the last goes with what follows.
 _STRETCHES = re.compile(r"[ \n]+(?=[ \n][^ \n])| ?[^ \n]+|[ \n]+")
 _OTHER_BLANK = re.compile(r"[^\S \n]")
+_BLANK = regex.compile(r"\p{White_Space}+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # blanks for str.split alone
-_END = b"\xff"  # stands for the end of a word; never a byte of UTF-8
+_SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
+END = b"\xff"  # stands for the end of a word; never a byte of UTF-8
 
 
 def token_file(name: str) -> str:
@@ -63,7 +65,7 @@ def word_merger(name: str) -> tiktoken.Encoding:
     end, table = model["end_of_word_suffix"], byte_of()
     ranks: dict[bytes, int] = {}
     for token, i in model["vocab"].items():
-        body, mark = (token[: -len(end)], _END) if token.endswith(end) else (token, b"")
+        body, mark = (token[: -len(end)], END) if token.endswith(end) else (token, b"")
         if all(c in table for c in body) and body:
             ranks[bytes(table[c] for c in body) + mark] = i
     ranks = {k: v for k, v in ranks.items() if len(k) == 1 or not k.startswith(b"<|")}
@@ -80,19 +82,35 @@ class WordEncoder:
         self.cache: dict[str, bytes] = {}
 
     def piece(self, word: str) -> list[int]:
-        return self.merge(word.encode() + _END)
+        return self.merge(word.encode() + END)
 
     def stretch(self, part: str) -> list[int]:
         if _PLAIN.fullmatch(part) and "<|" not in part:
             return [i for w in self.cut.findall(part.lower()) for i in self.piece(w)]
         return self.exact.encode(part, add_special_tokens=False).ids
 
+    def pieces(self, part: str) -> list[bytes | int]:
+        """What a stretch is merged from: words as bytes, special strings as ids."""
+        out: list[bytes | int] = []
+        table = byte_of()
+        for section in _SPECIAL.split(part):
+            if section and (i := self.exact.token_to_id(section)) is not None and section.startswith("<|"):
+                out.append(i)
+                continue
+            plain = self.exact.normalizer.normalize_str(section)
+            for word, _ in self.exact.pre_tokenizer.pre_tokenize_str(plain):
+                out.append(bytes(table[c] for c in word))
+        return out
+
+    @staticmethod
+    def cut_blanks(text: str) -> list[str]:
+        """Stretches between blanks, as the vocabulary's own pattern sees blanks."""
+        return _BLANK.split(text) if _SEPARATORS.search(text) else text.split()
+
     def parts(self, text: str) -> list[bytes]:
         """Ids of each stretch as little-endian 32-bit integers."""
-        if _SEPARATORS.search(text):
-            return [np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
         found, out = self.cache, []
-        for part in text.split():
+        for part in self.cut_blanks(text):
             ids = found.get(part)
             if ids is None:
                 if len(found) > CACHE_WORDS:
