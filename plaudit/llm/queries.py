@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from plaudit.llm import bpe, chat, jaccard, packing, quality, secrets, toxicity
+from plaudit.llm import bpe, chat, jaccard, packing, quality, repair, secrets, toxicity
 from plaudit.llm.batches import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,10 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_groups(documents(spark, sf_dir))
 
 
+def op10_repair_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.read_back(repair.shards(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_secret_scans, op3_chat_formatting, op4_quality_rules, op5_best_fit_packing, op6_bpe_tree, op7_toxicity, op9_ngram_jaccard)
+    f.__name__: f for f in (op1_secret_scans, op3_chat_formatting, op4_quality_rules, op5_best_fit_packing, op6_bpe_tree, op7_toxicity, op9_ngram_jaccard, op10_repair_output)
 } | {"pipeline": corpus_pipeline.run}
