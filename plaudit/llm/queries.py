@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from plaudit.llm import bpe, chat, jaccard, packing, quality, repair, secrets, toxicity
+from plaudit.llm import bpe, chat, digests, jaccard, language, packing, quality, repair, secrets, toxicity
 from plaudit.llm.batches import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.compare_with_next(documents(spark, sf_dir))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With one more conversation whose texts look like control strings."""
     odd = r"\### Assistant: </turn> ok"
@@ -41,6 +45,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out documents teach nothing."""
+    docs = documents(spark, sf_dir)
+    held_out = toxicity.is_held_out()
+    found = language.languages(docs, docs.where(~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_groups(documents(spark, sf_dir))
 
@@ -50,5 +62,5 @@ def op10_repair_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_secret_scans, op3_chat_formatting, op4_quality_rules, op5_best_fit_packing, op6_bpe_tree, op7_toxicity, op9_ngram_jaccard, op10_repair_output)
+    f.__name__: f for f in (op1_secret_scans, op2_document_fingerprints, op3_chat_formatting, op4_quality_rules, op5_best_fit_packing, op6_bpe_tree, op7_toxicity, op8_language_id, op9_ngram_jaccard, op10_repair_output)
 } | {"pipeline": corpus_pipeline.run}

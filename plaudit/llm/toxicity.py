@@ -283,13 +283,15 @@ def sample(docs: DataFrame, labels: DataFrame, setup: Setup = Setup()) -> tuple[
     """The bounded training sample, never from held-out documents."""
     known = (
         labels.where("doc_id is not null and toxic is not null").where(~is_held_out())
-        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+        .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("order", F.xxhash64("doc_id"))
     )
     texts = docs.select("doc_id", "text").where(F.length("text").between(1, setup.longest))
-    both = texts.join(known, "doc_id").withColumn("order", F.xxhash64("doc_id", "text"))
     got = []
     for toxic, n in ((1, setup.positives), (0, setup.negatives)):
-        got += both.where(F.col("toxic") == toxic).orderBy("order").limit(n).select("text", "toxic").collect()
+        # Ids first, with spares for texts that are too long: no text is shuffled.
+        some = known.where(F.col("toxic") == toxic).orderBy("order", "doc_id").limit(3 * n)
+        both = texts.join(F.broadcast(some), "doc_id").orderBy("order", "doc_id", "text").limit(n)
+        got += both.select("text", "toxic").collect()
     return [r.text for r in got], [int(r.toxic) for r in got]
 
 
