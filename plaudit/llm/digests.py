@@ -8,8 +8,9 @@ bits each, a new filter after ``per_filter`` features.  Two fingerprints are ali
 their filters share beyond chance: for each filter of the shorter chain the best match in the
 other one, averaged.
 
-Contract: null counts as empty.  A text shorter than a window is one feature, an empty one none;
-two empty fingerprints are alike (1), an empty and another one are not (0).  Equal texts have equal
+Contract: null counts as empty.  A text of under four windows holds too few of them: each of its
+stretches of ``STRETCH`` bytes is a feature (itself, if it is shorter); an empty text has none.  Two
+empty fingerprints are alike (1), an empty and another one are not (0).  Equal texts have equal
 fingerprints.  Rows of equal doc_id follow each other by text; null ids come after all others;
 a lone document is its own next one.  Extra columns are ignored.
 """
@@ -31,6 +32,7 @@ from plaudit.llm.batches import column_of, groups_by_size, map_tasks, rows, text
 from plaudit.llm.shingles import Words, _powers, _room
 
 WINDOW = 64
+STRETCH = 16
 BITS = 2048
 HASHES = 5
 LEVELS = 1001
@@ -139,10 +141,10 @@ def features(texts: list[bytes], rank: np.ndarray, choice: Choice = Choice()) ->
     cuts = np.searchsorted(at, np.append(starts, n))
     out = []
     for i, text in enumerate(texts):
-        if 0 < len(text) < WINDOW:
-            whole = np.array([starts[i]])
-            ends = Words(whole, whole + len(text), whole, prefix)
-            out.append(ends.stretch(np.array([0]), np.array([0])))
+        if 0 < len(text) < 4 * WINDOW:
+            size = min(len(text), STRETCH)
+            first = starts[i] + np.arange(len(text) - size + 1)
+            out.append(Words(here, here + size, here, prefix).stretch(first, first))
         else:
             out.append(hashes[cuts[i] : cuts[i + 1]])
     return out
