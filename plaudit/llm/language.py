@@ -117,7 +117,7 @@ def learn(docs: DataFrame, setup: Setup = Setup()) -> tuple[np.ndarray, list[str
 
     found = some.select("lang", "text").groupBy("lang").applyInArrow(cluster, "lang string, limit double, centre binary")
     got = sorted(found.collect(), key=lambda r: r.lang)  # clusters x languages
-    centres = np.array([np.frombuffer(r.centre, np.float32) for r in got], np.float32).reshape(len(got), -1)
+    centres = np.array([np.frombuffer(r.centre, np.float32) for r in got], np.float32).reshape(len(got), setup.dims)
     return idf, [r.lang for r in got], centres, np.array([r.limit for r in got])
 
 

@@ -174,14 +174,21 @@ def train(samples: DataFrame, markov: Markov = Markov()) -> list[float]:
     )
     table = samples.sparkSession.range(SIZE * SIZE).withColumnRenamed("id", "step").join(steps, "step", "left")
     cells = F.array_sort(F.collect_list(F.struct("step", F.coalesce("r", F.lit(0)), F.coalesce("o", F.lit(0)))))
-    r, o = [], []
-    for _, x, y in table.agg(cells.alias("c")).first()[0]:
-        r.append(x + markov.smoothing)
-        o.append(y + markov.smoothing)
+    counted = table.agg(cells.alias("c")).first()[0]
+    random, ordinary = (_conditional([c[i] for c in counted], markov.smoothing) for i in (1, 2))
+    return [log(x) - log(y) for x, y in zip(random, ordinary)]
+
+
+def _conditional(counts: list[int], smoothing: float) -> list[float]:
+    """Probability of each step given its first character; characters that were seldom followed
+    by anything fall back on how often each character occurs as a second one."""
+    seconds = [sum(counts[i::SIZE]) + smoothing for i in range(SIZE)]
+    total = sum(seconds)
     out = []
-    for start in range(0, SIZE * SIZE, SIZE):
-        sum_r, sum_o = sum(r[start : start + SIZE]), sum(o[start : start + SIZE])
-        out += [log(x / sum_r) - log(y / sum_o) for x, y in zip(r[start : start + SIZE], o[start : start + SIZE])]
+    for start in range(0, len(counts), SIZE):
+        row = counts[start : start + SIZE]
+        weight = smoothing * SIZE
+        out += [(n + weight * s / total) / (sum(row) + weight) for n, s in zip(row, seconds)]
     return out
 
 
@@ -249,17 +256,20 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", markov: Markov = Markov(), m
     for pattern, put in ((ASSIGNED, "$1" + mark), (ACCESS, mark), (HEX, mark)):
         plain = F.regexp_replace(plain, pattern, put)
     token = f"{NAME}{{{markov.shortest},}}"
+    # The columns of the documents wait in one struct, whatever their names.
     out = (
-        docs.withColumn("text", plain)
-        .withColumn("__found", F.regexp_extract_all("text", F.lit(token), F.lit(0)))
-        .withColumn("__pieces", F.when(F.size("__found") > 0, F.split("text", token, -1)))
+        docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), plain.alias("text"))
+        .withColumn("found", F.regexp_extract_all("text", F.lit(token), F.lit(0)))
+        .withColumn("pieces", F.when(F.size("found") > 0, F.split("text", token, -1)))
     )
     shown = F.zip_with(
-        "__pieces",
+        "pieces",
         F.transform(
-            "__found", lambda m: F.when(looks_random(m, model, markov.margin), F.lit(mark)).otherwise(m)
+            "found", lambda m: F.when(looks_random(m, model, markov.margin), F.lit(mark)).otherwise(m)
         ),
         lambda p, m: F.concat(p, F.coalesce(m, F.lit(""))),
     )
-    rebuilt = F.when(F.col("__pieces").isNotNull(), F.array_join(shown, "")).otherwise(F.col("text"))
-    return out.withColumn("text", rebuilt).select(*docs.columns)
+    rebuilt = F.when(F.col("pieces").isNotNull(), F.array_join(shown, "")).otherwise(F.col("text"))
+    return out.select(
+        *[rebuilt.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
+    )

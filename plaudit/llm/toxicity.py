@@ -11,7 +11,7 @@ learns from the highest one of a toxic document and the highest few of any other
 
 Contract: null counts as empty; a text without words gets the score of an empty window.  Only
 ``text`` is an input of a score.  Repeated rows are scored each alone; of several labels of one
-document the highest counts, null labels do not.  Without labels of both kinds every score is 0.
+document the highest counts, null labels do not.  Without labels of both kinds every score is near 0.
 """
 
 from __future__ import annotations
@@ -44,6 +44,7 @@ class Setup:
     frequent: int = 4
     hardest: int = 3
     epochs: int = 6
+    updates: int = 240  # at least so many, in more epochs where the sample is small
     rate: float = 0.02
     threshold: float = 0.3
     seed: int = 7
@@ -230,7 +231,9 @@ def fit(texts: list[str], toxic: list[int], setup: Setup = Setup()) -> tuple[Par
     first = {k: np.zeros_like(v) for k, v in p.items()}
     second = {k: np.zeros_like(v) for k, v in p.items()}
     steps = 0
-    for epoch in range(setup.epochs):
+    per_epoch = -(-(setup.hardest * len(texts)) // 128)
+    epochs = max(setup.epochs, -(-setup.updates // per_epoch))
+    for epoch in range(epochs):
         # At first any window of a document may hold the reason for its label.
         logit = forward(p, w) if epoch else rng.standard_normal(len(w.text)).astype(np.float32)
         order = np.lexsort((logit, w.text))
@@ -244,7 +247,7 @@ def fit(texts: list[str], toxic: list[int], setup: Setup = Setup()) -> tuple[Par
             part = _part(w, some)
             g = gradients(p, part, np.arange(len(some)), y, np.where(y > 0, 0.5 / share, 1.0))
             steps += 1
-            rate = setup.rate * (0.3 if epoch > setup.epochs * 2 // 3 else 1.0)
+            rate = setup.rate * (0.3 if epoch > epochs * 2 // 3 else 1.0)
             for k in p:
                 first[k] += 0.1 * (g[k] - first[k])
                 second[k] += 0.01 * (g[k] ** 2 - second[k])
