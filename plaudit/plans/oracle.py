@@ -10,8 +10,6 @@ from __future__ import annotations
 import re
 
 from ..functions import vocab
-from ..functions.stem import _STEP_2, _STEP_3, _STEP_4
-from ..operators import pairs
 from .catalog import ADJECTIVES, CENTRES, DOMAIN, LANGS, NOUNS, SLIDERS
 
 ASPECTS = ("food", "service", "price", "amb")
@@ -175,15 +173,25 @@ SELECT *, array_to_string(list_transform(
       THEN 'N' ELSE 'O' END || ':' || w || ' '), '') AS line
 FROM sents"""
 
+# The grammar once more, as plain regular expressions over the items of a line.
+_OPINION = "(?:X:[^ ]+ )?(?:I:[^ ]+ )*J:[^ ]+ "
+_SAID = f"{_OPINION}(?:(?:C:[^ ]+ )?{_OPINION})*"
+_THING = "(?:N:[^ ]+ )+"
+_OF = f"(?:P:[^ ]+ (?:D:[^ ]+ )?(?:J:[^ ]+ )*{_THING})?"
+_ASPECT = f"(?:J:[^ ]+ )*{_THING}{_OF}"
+_ATTRIBUTIVE = f"({_SAID})({_THING}{_OF})"
+_PREDICATIVE = f"({_ASPECT}(?:C:[^ ]+ (?:D:[^ ]+ )?{_ASPECT})*)(?:R:[^ ]+ )?B:[^ ]+ ({_SAID})"
+_CAUSATIVE = f"M:[^ ]+ (?:D:[^ ]+ )?({_ASPECT})({_SAID})"
+
 _META = "review_id, user_id, business_id, stars, review_ts, i, sentence"
 
 
 def _matches(pattern: str, attributive: bool) -> str:
     p = _lit(pattern)
     spans = (
-        "[one || two]" if attributive else f"regexp_extract_all(one, {_lit(pairs._ASPECT)})"
+        "[one || two]" if attributive else f"regexp_extract_all(one, {_lit(_ASPECT)})"
     )
-    opinions = f"regexp_extract_all({'one' if attributive else 'two'}, {_lit(pairs._OPINION)})"
+    opinions = f"regexp_extract_all({'one' if attributive else 'two'}, {_lit(_OPINION)})"
     return f"""
 SELECT {_META}, span, unnest(opinions) AS opinion FROM (
   SELECT {_META}, unnest({spans}) AS span, {opinions} AS opinions FROM (
@@ -192,11 +200,11 @@ SELECT {_META}, span, unnest(opinions) AS opinion FROM (
 
 
 _CTES["found"] = (
-    _matches(pairs.ATTRIBUTIVE, True)
+    _matches(_ATTRIBUTIVE, True)
     + " UNION ALL "
-    + _matches(pairs.PREDICATIVE, False)
+    + _matches(_PREDICATIVE, False)
     + " UNION ALL "
-    + _matches(pairs.CAUSATIVE, False)
+    + _matches(_CAUSATIVE, False)
 )
 _CTES["pair_rows"] = """
 SELECT DISTINCT review_id, user_id, business_id, stars, sentence,
@@ -207,6 +215,20 @@ FROM found"""
 
 # --- stems ------------------------------------------------------------------------------------
 
+# The published suffix tables of steps 2, 3 and 4, longest suffixes first.
+_STEP_2 = dict(
+    x.split(":")
+    for x in (
+        "ational:ate ization:ize iveness:ive fulness:ful ousness:ous tional:tion biliti:ble entli:ent "
+        "ousli:ous ation:ate alism:al aliti:al iviti:ive enci:ence anci:ance izer:ize abli:able "
+        "alli:al ator:ate eli:e"
+    ).split()
+)
+_STEP_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ness": "", "ful": ""}
+_STEP_4 = (
+    "ement ance ence able ible ment ant ent ion ism ate iti ous ive ize al er ic ou"
+).split()
+
 _C, _V = "[^aeiouY]", "[aeiouY]"
 _M1, _M2, _MJ = f"^{_C}*{_V}+{_C}", f"^{_C}*{_V}+{_C}+{_V}+{_C}", f"^{_C}*{_V}+{_C}+{_V}*$"
 _SHORT = f"{_C}{_V}[^aeiouwxyY]$"
