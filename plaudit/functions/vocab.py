@@ -42,7 +42,7 @@ LEXICON_NEGATIVE = (
     "hated disgusting gross unfriendly dry burnt burned"
 ).split()
 RATIO_EPSILON = 1e-6
-TERMS_PER_SENTENCE = 5
+TERMS_PER_SENTENCE = 5  # limits that callers may pass on
 TERMS_PER_REVIEW = 10
 
 # --- Fixed values: bucketing of extracted terms, exact variant ------------------------------
@@ -134,56 +134,49 @@ ADJECTIVES = (
     "crispy rich small large beautiful romantic comfortable unfriendly poor best worst"
 ).split()
 PROTOTYPES: dict[str, list[str]] = {
-    "food": (
-        "food meal dish cuisine flavor taste pizza burger pasta taco soup salad bread chicken fish "
-        "rice coffee dessert cake drink"
-    ).split()
-    + ["ice cream", "fried rice"],
-    "service": (
-        "service staff server waiter waitress host manager bartender team friendly attentive rude "
-        "slow prompt delivery reservation"
-    ).split()
-    + ["online order"],
-    "ambience": (
-        "ambience atmosphere vibe mood decor music lighting noise seating patio view room cozy "
-        "quiet crowded"
-    ).split()
-    + ["live band"],
-    "price": (
-        "price cost value worth bill deal discount fee cheap expensive overpriced affordable budget"
-    ).split()
-    + ["happy hour"],
+    "food": [
+        "food", "pizza", "plate", "meal", "soup", "snack", "kitchen", "recipe", "cheese", "tomato", "onion", "egg", "potato",
+        "bean", "juice", "olive oil", "main course",
+    ],
+    "service": [
+        "service", "staff", "crew", "clerk", "cashier", "helper", "welcome", "counter", "smile", "greeting", "courtesy",
+        "front desk",
+    ],
+    "ambience": [
+        "decor", "music", "interior", "furniture", "lamp", "window", "garden", "terrace", "candle", "acoustics",
+        "dining room",
+    ],
+    "price": [
+        "price", "value", "money", "dollar", "receipt", "tariff", "invoice", "wallet", "payment", "set menu",
+    ],
 }
 POLARITY: dict[str, dict[str, list[str]]] = {
     "positive": {
-        "general": "best good great excellent amazing wonderful perfect nice love".split()
-        + ["highly rated"],
-        "service": "friendly attentive helpful polite quick fast kind".split(),
-        "food": "delicious tasty fresh crispy tender juicy flavorful".split(),
-        "ambience": "cozy clean quiet romantic comfortable beautiful".split(),
-        "price": "affordable reasonable fair cheap".split() + ["good value"],
+        "general": ["good", "great", "superb", "fantastic", "lovely", "enjoyable", "well made"],
+        "service": ["friendly", "courteous", "cheerful", "patient", "welcoming"],
+        "food": ["delicious", "savoury", "succulent", "aromatic", "ripe"],
+        "ambience": ["cozy", "airy", "bright", "charming", "peaceful"],
+        "price": ["economical", "sensible", "modest", "worth every penny"],
     },
     "negative": {
-        "general": "worst bad terrible awful poor horrible mediocre".split() + ["not good"],
-        "service": "rude slow unfriendly careless unhelpful late".split(),
-        "food": "bland cold stale soggy salty dry burnt".split(),
-        "ambience": "noisy crowded dirty loud dark".split(),
-        "price": "expensive overpriced pricey costly".split() + ["rip-off"],
+        "general": ["bad", "dreadful", "unpleasant", "disappointing", "inferior", "never again"],
+        "service": ["slow", "grumpy", "dismissive", "clumsy", "forgetful"],
+        "food": ["bland", "greasy", "rancid", "lukewarm", "overcooked"],
+        "ambience": ["gloomy", "cramped", "stuffy", "deafening", "shabby"],
+        "price": ["overpriced", "exorbitant", "inflated", "daylight robbery"],
     },
 }
 GENERAL = "general"
 
-# Vocabularies up to this many terms become literal sets inside expressions; larger ones are joined.
-LITERAL_LIMIT = 20_000
-
 POLARITY_SCHEMA = "aspect_to_match STRING, term_to_match STRING, polarity STRING"
 
 
-def read_vocabulary(df: DataFrame, label: str, term: str, limit: int = LITERAL_LIMIT) -> dict[str, list[str]]:
-    """A (label, term) table as an ordered mapping; refuses tables beyond ``limit`` rows."""
-    rows = df.select(label, term).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"vocabulary has more than {limit} terms; keep it a table and join it")
+def read_vocabulary(df: DataFrame, label: str, term: str) -> dict[str, list[str]]:
+    """A (label, term) table as an ordered mapping, for vocabularies that become expressions.
+
+    Prototypes and lexicons of any size stay tables: operators that join them take tables.
+    """
+    rows = df.select(label, term).collect()
     out: dict[str, list[str]] = {}
     for name, word in rows:
         out.setdefault(name, []).append(word)

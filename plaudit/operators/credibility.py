@@ -42,12 +42,11 @@ def join_weights(
     rows: DataFrame,
     weights: DataFrame,
     spread: Sequence[str] | None = None,
-    key_rows: DataFrame | None = None,
 ) -> DataFrame:
     """Every row with its author's weight; 1.0 where the author has none."""
     require_columns(weights, ["user_id", "w_user"], "weights")
     joined = join_dimension(
-        rows, weights.select("user_id", "w_user"), "user_id", "left", spread, key_rows
+        rows, weights.select("user_id", "w_user"), "user_id", "left", spread
     )
     return joined.withColumn("w_user", F.coalesce("w_user", F.lit(1.0)))
 

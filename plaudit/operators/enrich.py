@@ -100,7 +100,7 @@ def absa_ready(
     spread = ["review_id"] if "review_id" in reviews.columns else None
     at_place = join_dimension(reviews, places, "business_id", "inner", spread=spread)
     joined = join_dimension(
-        at_place, people, "user_id", "left", spread=spread, key_rows=reviews.select("user_id")
+        at_place, people, "user_id", "left", spread=spread
     )
     keep = [
         "review_id", "business_id", "name", "city", "state", "user_id", "review_count",
@@ -110,12 +110,9 @@ def absa_ready(
 
 
 def absa_flat(
-    ready: DataFrame, business: DataFrame, key_rows: DataFrame | None = None
+    ready: DataFrame, business: DataFrame
 ) -> DataFrame:
-    """Adds business metadata under names that do not clash; text in lower case.
-
-    ``key_rows``: a cheaper table with the business of each row, for finding heavy keys.
-    """
+    """Adds business metadata under names that do not clash; text in lower case."""
     places = select_present(
         business,
         [
@@ -125,7 +122,7 @@ def absa_flat(
     )
     renamed = ready.withColumnsRenamed({"stars": "review_stars", "review_count": "user_review_count"})
     spread = ["review_id"] if "review_id" in ready.columns else None
-    joined = join_dimension(renamed, places, "business_id", spread=spread, key_rows=key_rows)
+    joined = join_dimension(renamed, places, "business_id", spread=spread)
     keep = [
         "review_id", "business_id", "name", "city", "state", "categories", "review_stars",
         "user_review_count", "average_stars", "text", "date", "review_ts", "user_id", "latitude",
@@ -139,29 +136,36 @@ def dedup_rows(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def distinct_values(df: DataFrame, column: str, k: int = 5000) -> DataFrame:
-    """Sorted distinct values for a selector, the first ``k``."""
-    return df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column).limit(k)
+def distinct_values(df: DataFrame, column: str, k: int | None = None) -> DataFrame:
+    """Sorted distinct values for a selector, all of them or the first ``k``."""
+    values = df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column)
+    return values if k is None else values.limit(k)
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """Per column: rows, non-null values, distinct values.
+def profile(df: DataFrame, exact: Sequence[str] = ()) -> DataFrame:
+    """Per column: rows, non-null values, distinct values; one pass, one row per task.
 
-    Values are counted per (column, value) first, so one frequent value costs one row per task.
+    Distinct values are estimated, but counted exactly for the columns named in ``exact`` (keys and
+    other short columns: each of them shuffles its values).
     """
-    cells = df.select(
+    each = []
+    for c in df.columns:
+        each += [F.count(c).alias(f"n_{c}"), F.approx_count_distinct(c).alias(f"d_{c}")]
+    counted = df.agg(F.count(F.lit(1)).alias("rows"), *each)
+    out = counted.select(
         F.inline(
             F.array(
                 *[
-                    F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
+                    F.struct(
+                        F.lit(c).alias("column_name"), F.col("rows").alias("row_count"),
+                        F.col(f"n_{c}").alias("non_null"), F.col(f"d_{c}").alias("distinct_values"),
+                    )
                     for c in df.columns
                 ]
             )
         )
     )
-    counted = cells.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("column_name").agg(
-        F.sum("n").alias("row_count"),
-        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"),
-        F.count("value").alias("distinct_values"),
-    )
+    for c in exact:
+        values = df.select(c).dropna().distinct().agg(F.count(F.lit(1))).scalar()
+        out = out.withColumn("distinct_values", F.when(F.col("column_name") == c, values).otherwise(F.col("distinct_values")))
+    return out

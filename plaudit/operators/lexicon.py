@@ -46,12 +46,15 @@ def _hits(aspect: str, side: str) -> Column:
     )
 
 
-def _terms(aspect: str, side: str) -> Column:
-    per_sentence = F.transform(
-        F.filter("__facts", lambda f: f[aspect]),
-        lambda f: F.slice(f[side], 1, vocab.TERMS_PER_SENTENCE),
+def _first(items: Column, n: int | None) -> Column:
+    return items if n is None else F.slice(items, 1, n)
+
+
+def _terms(aspect: str, side: str, per_sentence: int | None, per_review: int | None) -> Column:
+    hits = F.transform(
+        F.filter("__facts", lambda f: f[aspect]), lambda f: _first(f[side], per_sentence)
     )
-    return F.slice(F.flatten(per_sentence), 1, vocab.TERMS_PER_REVIEW)
+    return _first(F.flatten(hits), per_review)
 
 
 def score_reviews(
@@ -61,11 +64,14 @@ def score_reviews(
     positive: Sequence[str] = vocab.LEXICON_POSITIVE,
     negative: Sequence[str] = vocab.LEXICON_NEGATIVE,
     with_terms: bool = True,
+    per_sentence: int | None = None,
+    per_review: int | None = None,
 ) -> DataFrame:
     """Adds ``aspect_<a>`` scores in [-1, 1] and, if asked, ``<a>_pos_terms`` / ``<a>_neg_terms``.
 
     A sentence naming any word of an aspect gives all its positive and negative words to that
     aspect; the score is (p - n) / (p + n + 1e-6), or 0.0 without such words or without text.
+    ``per_sentence`` and ``per_review`` limit the listed terms, never the score.
     """
     facts = reviews.withColumn("__facts", _sentence_facts(F.col(text), aspects, positive, negative))
     counted = facts.select(
@@ -82,7 +88,7 @@ def score_reviews(
     kept = [c for c in reviews.columns]
     scores = [ratio(a).alias(f"aspect_{a}") for a in aspects]
     terms = (
-        [_terms(a, s).alias(f"{a}_{s}_terms") for a in aspects for s in ("pos", "neg")]
+        [_terms(a, s, per_sentence, per_review).alias(f"{a}_{s}_terms") for a in aspects for s in ("pos", "neg")]
         if with_terms
         else []
     )

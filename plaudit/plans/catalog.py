@@ -130,7 +130,8 @@ def lexicon_table(spark, d):
 @query
 def profile(spark, d):
     return enrich.profile(
-        standins.ratings(spark, d).select("user_id", "business_id", "stars", "review_year")
+        standins.ratings(spark, d).select("user_id", "business_id", "stars", "review_year"),
+        exact=["user_id", "business_id", "stars", "review_year"],
     )
 
 
@@ -265,7 +266,8 @@ def aspect_map_apply(spark, d):
 
 def _labelled(spark, d):
     """Pairs with the aspect of their seed by vocabulary: the deterministic half of the mapping."""
-    return _pairs(spark, d).withColumn("aspect", mapping.lexical_label(F.col("aspect_seed")))
+    found = materialize(_pairs(spark, d), "pairs")
+    return found.withColumn("aspect", mapping.lexical_label(F.col("aspect_seed")))
 
 
 @query
@@ -486,7 +488,9 @@ def lexicon_scores(spark, d):
 
 @query
 def lexicon_terms(spark, d):
-    scored = lexicon.score_reviews(standins.reviews(spark, d))
+    scored = lexicon.score_reviews(
+        standins.reviews(spark, d), per_sentence=vocab.TERMS_PER_SENTENCE, per_review=vocab.TERMS_PER_REVIEW
+    )
     return scored.select("review_id", *[f"{a}_{s}_terms" for a in lexicon.ASPECTS for s in ("pos", "neg")])
 
 
@@ -494,7 +498,7 @@ def _words(spark, d):
     """Distinct document words with their number of occurrences."""
     docs = standins.documents(spark, d)
     tokens = docs.select("lang", F.explode(alpha_words(F.col("text"))).alias("word"))
-    return tokens.where(F.length("word") > 2).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    return tokens.where(F.length("word") > 0).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _document_terms(spark, d):

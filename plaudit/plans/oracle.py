@@ -410,7 +410,7 @@ FROM (SELECT DISTINCT user_id, review_id, stars FROM scored) GROUP BY user_id"""
 _CTES["doc_words"] = r"""
 SELECT lang, w AS word FROM (
   SELECT lang, unnest(string_split_regex(regexp_replace(lower(text), '[^a-z]', ' ', 'g'), '\s+')) AS w
-  FROM documents) WHERE length(w) > 2"""
+  FROM documents) WHERE length(w) > 0"""
 _CTES["doc_terms"] = "SELECT DISTINCT word AS term FROM doc_words"
 _CTES["lang_protos"] = (
     "SELECT DISTINCT lang AS label, CASE lang "
@@ -648,7 +648,7 @@ FROM lexicon l JOIN term_stems t ON t.x = l.term_to_match LEFT JOIN (
         f"SELECT '{c}' AS column_name, count(*) AS row_count, count({c}) AS non_null, count(DISTINCT {c}) AS distinct_values FROM ratings"
         for c in ("user_id", "business_id", "stars", "review_year")
     ),
-    "distinct_values": "SELECT DISTINCT city FROM business ORDER BY city LIMIT 5000",
+    "distinct_values": "SELECT DISTINCT city FROM business ORDER BY city",
     "select_business": "SELECT business_id, name AS biz_name, city AS biz_city, state AS biz_state, stars AS biz_stars, review_count AS biz_review_count, categories AS biz_categories FROM business",
     "derive_time": "SELECT review_id, strftime(review_ts, '%Y-%m-%d') AS day, review_year, review_month FROM ratings",
     "filter_category_like": """

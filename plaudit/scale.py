@@ -8,17 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .session import materialize
+
 # A key is heavy when it holds more than this share of the rows.  At most 1 / HEAVY_SHARE keys
 # can be heavy, whatever the data: that bound is what allows the heavy keys to be broadcast.
 HEAVY_SHARE = 0.002
-SALTS = 64
-
-_HEAVY, _SALT = "__heavy", "__salt"
+# Rows without a key meet nothing; they spread over so many partitions.
+NULL_SPREAD = 4096
 
-
-def broadcast_limit(spark: SparkSession) -> int:
-    """The session's own automatic broadcast threshold in bytes (-1 when switched off)."""
-    return int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+_SALTS, _SALT = "__salts", "__salt"
 
 
 def size_bound(df: DataFrame) -> int:
@@ -26,11 +24,6 @@ def size_bound(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    limit = broadcast_limit(df.sparkSession)
-    return limit > 0 and size_bound(df) <= limit
-
-
 def spread_small(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a small input over the cores before heavy per-row work.
 
@@ -47,14 +40,19 @@ def spread_small(df: DataFrame, *keys: str) -> DataFrame:
 def heavy_keys(
     rows: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE, count: str | None = None
 ) -> DataFrame:
-    """Distinct key values holding more than ``share`` of the rows (at most ``1 / share``).
+    """(keys, __salts) of the keys with more than ``share`` of the rows, stored.
 
-    ``count`` names a column of ``rows`` that already counts them, one row per key.
+    A key of n such shares gets n salts, so no part holds much more than one share.  ``count``
+    names a column of ``rows`` that already counts them, one row per key.  Make it once from the
+    source of a join's keys and hand it to ``join_dimension``.
     """
     n = F.count(F.lit(1)) if count is None else F.sum(count)
-    counts = rows.groupBy(*keys).agg(n.alias("__n"))
-    total = counts.agg(F.sum("__n")).scalar()
-    return counts.where(F.col("__n") > total * F.lit(share)).select(*keys)
+    counts = rows.dropna(subset=list(keys)).groupBy(*keys).agg(n.alias("__n"))
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    heavy = counts.where(F.col("__n") > total * share).select(
+        *keys, F.ceil(F.col("__n") / (total * share or 1)).cast("int").alias(_SALTS)
+    )
+    return materialize(heavy, "heavy-keys")
 
 
 def join_dimension(
@@ -63,67 +61,67 @@ def join_dimension(
     on: str | Sequence[str],
     how: str = "left",
     spread: Sequence[str] | None = None,
-    key_rows: DataFrame | None = None,
-    key_count: str | None = None,
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
-    """Equi-join of many ``fact`` rows to one ``dim`` row per key, safe against heavy keys.
-
-    A ``dim`` within the session's broadcast threshold is joined plainly: Catalyst broadcasts it.
-    Beyond it, rows of heavy keys (and null keys) are spread over ``SALTS`` partitions, and only
-    the heavy ``dim`` rows are copied to match.  The salt is a hash of the ``spread`` columns, so
-    a re-run of a lost task sends each row to the same place.  ``key_rows`` may name a cheaper
-    table with the same key distribution for finding the heavy keys, or, with ``key_count``, a
-    table that already counts them.
+    """Equi-join of many ``fact`` rows to one ``dim`` row per key.
+
+    One shuffle of either side, or none where Catalyst broadcasts; adaptive execution splits
+    skewed partitions.  In a left join rows without a key are dealt out by a hash of ``spread``,
+    so they meet in no task.  ``heavy``, a stored table from ``heavy_keys``, also splits those
+    keys over as many salts as they have shares of the rows, and copies their ``dim`` rows to match.
+    The salt is a hash of row columns, so a re-run of a lost task sends each row to the same place.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if how not in ("left", "inner", "left_semi"):
         raise ValueError(f"join_dimension keeps fact rows; how={how!r} is not supported")
-    if fits_broadcast(dim):
+    if heavy is None and how != "left":
         return fact.join(dim, keys, how)
-    counted = key_rows if key_rows is not None else fact
-    heavy = F.broadcast(
-        heavy_keys(counted, keys, count=key_count).withColumn(_HEAVY, F.lit(True))
-    )
-    hashable = [f.name for f in fact.schema.fields if not isinstance(f.dataType, T.MapType)]
-    row_hash = F.pmod(F.xxhash64(*(spread or hashable)), F.lit(SALTS)).cast("int")
+    simple = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+    cheap = [f.name for f in fact.schema.fields if isinstance(f.dataType, simple)]
+    dealt = F.xxhash64(*(spread or cheap or keys))
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()
-    salted = (
-        fact.join(heavy, keys, "left")
-        .withColumn(_SALT, F.when(F.col(_HEAVY) | no_key, row_hash).otherwise(F.lit(0)))
-        .drop(_HEAVY)
-    )
-    every_salt = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    copied = (
-        dim.join(heavy, keys, "left")
-        .withColumn(_SALT, F.explode(F.when(F.col(_HEAVY), every_salt).otherwise(F.array(F.lit(0)))))
-        .drop(_HEAVY)
-    )
+    salt = F.when(no_key, F.pmod(dealt, F.lit(NULL_SPREAD)).cast("int"))
+    if heavy is None:
+        salted = fact.withColumn(_SALT, salt.otherwise(0))
+        copied = dim.withColumn(_SALT, F.lit(0))
+    else:
+        few = F.broadcast(heavy)
+        split = F.pmod(dealt, F.col(_SALTS)).cast("int")
+        salted = fact.join(few, keys, "left").withColumn(
+            _SALT, salt.when(F.col(_SALTS).isNotNull(), split).otherwise(0)
+        ).drop(_SALTS)
+        every = F.sequence(F.lit(0), F.coalesce(_SALTS, F.lit(1)) - 1)
+        copied = dim.join(few, keys, "left").withColumn(_SALT, F.explode(every)).drop(_SALTS)
     return salted.join(copied, [*keys, _SALT], how).drop(_SALT)
 
 
+def _digest(key: str, seed: str):
+    """Hash of a key; a null key is a key like any other."""
+    return F.md5(F.concat(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("\u0000"))))
+
+
 def hash_ordered_sample(df: DataFrame, key: str, n: int, seed: str = "42") -> DataFrame:
     """Exactly ``n`` rows (fewer if there are fewer), first by the hash of ``key``.
 
     The same rows on any partitioning.  A count per 4-digit hash prefix (65,536 rows at most)
-    finds the prefix at which ``n`` rows are reached; only rows up to it are sorted.
+    finds the prefix at which ``n`` rows are reached; earlier ones are kept whole.
     """
-    digest = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))
-    tagged = df.withColumn("__h", digest).withColumn("__p", F.substring("__h", 1, 4))
+    tagged = df.withColumn("__h", _digest(key, seed)).withColumn("__p", F.substring("__h", 1, 4))
     prefixes = tagged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     reached = prefixes.withColumn("__run", F.sum("__n").over(Window.orderBy("__p")))
-    cut = reached.where(F.col("__run") >= n).agg(F.coalesce(F.min("__p"), F.lit("ffff"))).scalar()
-    return (
-        tagged.where(F.col("__p") <= cut).orderBy("__h", key).limit(n).drop("__h", "__p")
-    )
+    last = reached.where(F.col("__run") >= n).orderBy("__p").select("__p", F.col("__run") - F.col("__n")).first()
+    cut, before = last if last is not None else ("g", n)
+    # Only the last prefix, one in 65,536 of the rows, is ordered.
+    rest = tagged.where(F.col("__p") == cut).orderBy("__h", key).limit(n - before)
+    return tagged.where(F.col("__p") < cut).unionByName(rest).drop("__h", "__p")
 
 
 def hash_fraction_sample(df: DataFrame, key: str, fraction: float, seed: str = "3") -> DataFrame:
     """Rows whose hashed ``key`` falls in the lowest ``fraction`` of 65,536 slots; no shuffle."""
     cut = f"{round(fraction * 65536):05x}"
-    digest = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))
-    return df.where(F.concat(F.lit("0"), F.substring(digest, 1, 4)) < F.lit(cut))
+    return df.where(F.concat(F.lit("0"), F.substring(_digest(key, seed), 1, 4)) < F.lit(cut))
 
 
 def exact_quantiles(

@@ -157,7 +157,7 @@ def test_lexicon_scores(spark):
     assert rows[2].food_pos_terms == []
     assert rows[5].aspect_food == pytest.approx(2 / (2 + 1e-6)) and rows[5].aspect_amb == pytest.approx(-1, abs=1e-5)
     many = spark.createDataFrame([("food " + "good " * 9 + ". ") * 3,], "string").toDF("text")
-    assert len(lexicon.score_reviews(many).first().food_pos_terms) == 10
+    assert len(lexicon.score_reviews(many, per_sentence=5, per_review=10).first().food_pos_terms) == 10
 
 
 def brute_lexicon(review):
@@ -194,14 +194,14 @@ def test_lexicon_against_brute_force(spark):
     "sentence, want",
     [
         ("Great food", {("great food", "great", False)}),
-        ("quick and attentive service", {("quick attentive service", "quick", False), ("quick attentive service", "attentive", False)}),
+        ("kind and helpful waiter", {("kind helpful waiter", "kind", False), ("kind helpful waiter", "helpful", False)}),
         ("The service is not very slow", {("service", "not very slow", True)}),
         ("the soup wasn't fresh", {("soup", "n't fresh", True)}),
-        ("tacos were fresh and tasty", {("tacos", "fresh", False), ("tacos", "tasty", False)}),
-        ("pizza and salad were cold", {("pizza", "cold", False), ("salad", "cold", False)}),
-        ("they made the pasta soggy", {("pasta", "soggy", False)}),
-        ("service that was really slow", {("service", "really slow", False)}),
-        ("the cup of coffee was hot", {("cup coffee", "hot", False)}),
+        ("desserts were small and sweet", {("desserts", "small", False), ("desserts", "sweet", False)}),
+        ("bread and fish were dry", {("bread", "dry", False), ("fish", "dry", False)}),
+        ("he left the rice cold", {("rice", "cold", False)}),
+        ("a host who was so kind", {("host", "so kind", False)}),
+        ("the portion of cake was large", {("portion cake", "large", False)}),
         ("nothing here", set()),
         ("", set()),
     ],
@@ -269,10 +269,7 @@ def labelled(spark, rows):
     return spark.createDataFrame(rows, "aspect string, aspect_opinion string, aspect_negated boolean")
 
 
-@pytest.mark.parametrize("literal", [True, False])
-def test_sentiment(spark, monkeypatch, literal):
-    if not literal:
-        monkeypatch.setattr(vocab, "LITERAL_LIMIT", 0)
+def test_sentiment(spark):
     lex = vocab.polarity_table(spark, {"positive": {"general": ["good"], "service": ["friendly"]},
                                        "negative": {"service": ["unfriendly"], "food": ["soggy"]}})
     rows = [("service", "unfriendly", False), ("food", "good", True), ("food", "good", None), ("food", "friendly", False),
@@ -485,3 +482,56 @@ def test_partition_count_does_not_matter(spark, sf):
         assert run("1") == run("7")
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+# --- nothing is capped, and no text breaks a pattern ------------------------------------------
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("good " * 20_000, 0),
+        ("food and " * 20_000 + "bread was good", 2),
+        ("food " * 20_000 + "is very " + "very " * 20_000 + "good", 1),
+        ("good " * 3_000 + "food", 1),
+        ("left " * 20_000, 0),
+    ],
+)
+def test_pairs_of_endless_runs(spark, text, want):
+    assert pairs.aspect_pairs(spark.createDataFrame([(text,)], "text string")).count() == want
+
+
+def test_stems_of_endless_words(spark):
+    words = ["b" * 100_000, "ab" * 50_000 + "ing", "y" * 100_001]
+    got = spark.createDataFrame([(words,)], "w array<string>").select(stem_words(F.col("w")).alias("s")).first().s
+    assert [len(s) for s in got] == [100_000, 100_000, 100_001]
+
+
+def test_all_distinct_values_and_all_terms(spark):
+    many = spark.range(6000).select(F.col("id").cast("string").alias("v"))
+    assert enrich.distinct_values(many, "v").count() == 6000 and enrich.distinct_values(many, "v", 7).count() == 7
+    text = spark.createDataFrame([("food " + "good " * 30,)], "text string")
+    assert len(lexicon.score_reviews(text).first().food_pos_terms) == 30
+    assert len(lexicon.score_reviews(text, per_sentence=5, per_review=10).first().food_pos_terms) == 5
+
+
+def test_large_lexicon_and_many_labels(spark):
+    lex = spark.range(25_000).select(
+        F.lit(None).cast("string").alias("aspect_to_match"), F.concat(F.lit("w"), "id").alias("term_to_match"),
+        F.when(F.col("id") % 2 == 0, "positive").otherwise("negative").alias("polarity"),
+    )
+    got = sentiment.opinion_sentiment(labelled(spark, [("food", "so w24998", False), ("food", "w24999", False)]), lex)
+    assert {r.aspect_opinion: r.sentiment for r in got.collect()} == {"so w24998": "positive", "w24999": "negative"}
+    protos = spark.range(300).select(
+        F.concat(F.lit("l"), "id").alias("label"), F.col("id").cast("int").alias("label_order"),
+        F.concat(F.lit("word"), F.col("id") * 7919).alias("term"),
+    )
+    out = mapping.assign_labels(spark.createDataFrame([(f"word{7919 * 250}",)], "term string"), protos).first()
+    assert out.label == "l250" and out.similarity == pytest.approx(1)
+
+
+def test_profile_in_one_pass(spark):
+    df = spark.createDataFrame([(1, "a"), (1, None), (2, "b")], "k int, t string")
+    want = {("k", 3, 3, 2), ("t", 3, 2, 2)}
+    assert {tuple(r) for r in enrich.profile(df).collect()} == want
+    assert {tuple(r) for r in enrich.profile(df, ["k"]).collect()} == want

@@ -4,8 +4,8 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
-
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+from plaudit.plans.catalog import QUERIES
+from plaudit.plans.oracle import SQL
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +14,7 @@ def duck(sf):
 
 
 def test_contract(spark):
-    assert set(SQL) <= set(QUERIES)
+    assert set(SQL) <= set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
     assert set(QUERIES) - set(SQL) == {"batch_score", "kmeans_clusters", "kmeans_quality"}
     assert entry.entry(spark).count() > 0
 

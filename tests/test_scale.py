@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plaudit import scale
+from plaudit.plans.catalog import QUERIES
 from plaudit.session import materialize, shared_dir
 
 
@@ -27,40 +28,44 @@ def skewed(spark, n=30_000):
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
-def test_salted_join_equals_plain_join(no_broadcast, how):
+@pytest.mark.parametrize("split", [True, False])
+def test_join_equals_plain_join(no_broadcast, how, split):
     spark = no_broadcast
     fact = skewed(spark)
     dim = spark.range(0, 4000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    got = scale.join_dimension(fact, dim, "k", how, spread=["id"])
+    heavy = scale.heavy_keys(fact, ["k"]) if split else None
+    got = scale.join_dimension(fact, dim, "k", how, spread=["id"], heavy=heavy)
     want = fact.join(dim, "k", how)
     assert got.columns == want.columns
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
-def test_heavy_rows_are_spread(no_broadcast):
-    spark = no_broadcast
+def test_salts_follow_the_count_of_a_key(spark):
     fact = skewed(spark)
-    assert [r.k for r in scale.heavy_keys(fact.where("k is not null"), ["k"]).collect()] == [0]
-    dim = spark.range(0, 4000).select(F.col("id").alias("k"))
-    joined = scale.join_dimension(fact, dim, "k", "left", spread=["id"])
-    plan = joined._jdf.queryExecution().optimizedPlan().toString()
-    assert "__salt" in plan and "Cartesian" not in plan
-    assert joined.groupBy().count().first()[0] == fact.count()
+    counts = fact.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    for found in (scale.heavy_keys(fact, ["k"]), scale.heavy_keys(counts, ["k"], count="n")):
+        # Half of the rows that have a key, in parts of at most 0.2 %.
+        assert [tuple(r) for r in found.collect()] == [(0, 250)]
 
 
-def test_counted_keys_give_the_same_heavy_keys(spark):
-    fact = skewed(spark)
-    counts = fact.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    assert sorted(map(str, scale.heavy_keys(counts, ["k"], count="n").collect())) == sorted(
-        map(str, scale.heavy_keys(fact, ["k"]).collect())
-    )
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
 
 
-def test_small_side_is_joined_plainly(spark):
-    fact = skewed(spark)
-    dim = spark.range(0, 10).select(F.col("id").alias("k"))
-    plan = scale.join_dimension(fact, dim, "k")._jdf.queryExecution().optimizedPlan().toString()
-    assert "__salt" not in plan
+@pytest.mark.parametrize("name, joins, scans", [("absa_flat", 4, 5), ("enrich_reviews", 1, 2), ("restaurant_vectors", 2, 3)])
+def test_chained_joins_do_not_multiply_the_plan(no_broadcast, sf, name, joins, scans):
+    """At most two exchanges per join (and one more for an aggregation), one scan per use of a table."""
+    plan = plan_of(QUERIES[name](no_broadcast, sf))
+    assert plan.count("SortMergeJoin") == joins
+    assert plan.count("Exchange hashpartitioning") <= 2 * joins + 2
+    assert plan.count("FileScan") <= scans
+
+
+def test_rows_without_key_are_dealt_out(no_broadcast):
+    spark = no_broadcast
+    fact = spark.range(4000).select("id", F.when(F.col("id") % 9 == 0, F.col("id")).alias("k"))
+    joined = scale.join_dimension(fact, spark.range(5).select(F.col("id").alias("k")), "k", spread=["id"])
+    assert "__salt" in plan_of(joined) and joined.count() == 4000
 
 
 def test_quantiles_are_exact(spark):
@@ -86,6 +91,25 @@ def test_hash_sample_ignores_partitioning(spark):
     assert scale.hash_fraction_sample(df, "k", 1.0).count() == 5000
 
 
+def test_samples_keep_rows_without_key(spark):
+    df = spark.createDataFrame([(None,)] * 5 + [(i,) for i in range(5)], "k long")
+    assert scale.hash_ordered_sample(df, "k", 10).count() == 10
+    assert scale.hash_fraction_sample(df, "k", 1.0).where("k is null").count() == 5
+
+
+def test_a_cluster_needs_a_shared_folder():
+    for master, fine in (("local[4]", True), ("local", True), ("yarn", False), ("local-cluster[2,1,1024]", False)):
+        session = SimpleNamespace(
+            conf=SimpleNamespace(get=lambda key, default: None),
+            sparkContext=SimpleNamespace(applicationId="none", master=master),
+        )
+        if fine:
+            assert shared_dir(session)
+        else:
+            with pytest.raises(RuntimeError):
+                shared_dir(session)
+
+
 def test_shared_folder_is_the_one_the_session_names(spark):
     named = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: {"spark.checkpoint.dir": "/shared/x/"}[key]))
     assert shared_dir(named) == "/shared/x"
