@@ -362,7 +362,7 @@ def weighted_scores(spark, d):
 def business_aspect_scores(spark, d):
     scored = materialize(_scored(spark, d), "scored")
     weights = materialize(credibility.reviewer_weights(scored, "review"), "weights")
-    return vectors.business_aspect_scores(scored, weights, 3).where(F.col("aspect").isNotNull())
+    return vectors.business_aspect_scores(scored, weights, 3)
 
 
 @query

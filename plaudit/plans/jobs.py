@@ -19,12 +19,13 @@ from ..operators.enrich import (
     absa_flat,
     absa_ready,
     enrich_reviews,
+    filter_domain,
     preview,
     profile,
     recent_top_rated,
     top_counts,
 )
-from ..scale import hash_ordered_sample
+from ..scale import hash_ordered_sample, join_dimension
 from ..session import materialize
 from ..sources import ingest
 from ..sources.tables import read_json, read_years, write_csv, write_parquet, write_partitioned
@@ -95,9 +96,17 @@ def absa(
     reviews: DataFrame, business: DataFrame | None = None,
     prototypes: vocab.Vocabulary = vocab.PROTOTYPES,
     polarity: Mapping[str, vocab.Vocabulary] = vocab.POLARITY,
-    nouns: Sequence[str] = vocab.NOUNS, grain: str = "review",
+    nouns: Sequence[str] = vocab.NOUNS, grain: str = "review", domain: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Text to sentence scores, user weights, weighted scores and business scores."""
+    """Text to sentence scores, user weights, weighted scores and business scores.
+
+    With ``domain``, a pattern, only reviews of businesses whose categories match it count.
+    """
+    if domain is not None:
+        if business is None:
+            raise ValueError("a domain needs the businesses")
+        places = filter_domain(business, regex=domain).select("business_id").distinct()
+        reviews = join_dimension(reviews, places, "business_id", "left_semi")
     found = materialize(extract(reviews, nouns=nouns), "pairs")
     scored = materialize(score_sentences(map_aspects(found, prototypes), polarity), "scored")
     weights = materialize(credibility.reviewer_weights(scored, grain), "weights")
@@ -135,7 +144,6 @@ def absa_lexicon(
     reviews: DataFrame, business: DataFrame, users: DataFrame, sample: int | None = None,
     min_reviews: int = 10,
 ) -> dict[str, DataFrame]:
-    keys = reviews.select("business_id")
     flat = absa_flat(absa_ready(reviews, business, users), business)
     chosen = hash_ordered_sample(flat, "review_id", sample) if sample else flat
     scored = materialize(lexicon.score_reviews(chosen), "absa-scored")

@@ -551,6 +551,17 @@ SELECT rid, i, terms[i] AS term, sign FROM (
   FROM reviews) r, unnest(generate_series(1, len(terms))) AS g(i)"""
 
 
+# What the default scorer returns: bucket words, labelled by the balance of the opinion words.
+_BUCKET_NOUNS = sorted({w for ws in vocab.BUCKETS_EXACT.values() for w in ws})
+_CTES["keyword_terms"] = f"""
+SELECT rid, i, terms[i] AS term, sign FROM (
+  SELECT rid, CAST(sign(len(list_filter(ws, lambda w: w IN ({_list(vocab.LEXICON_POSITIVE)})))
+                - len(list_filter(ws, lambda w: w IN ({_list(vocab.LEXICON_NEGATIVE)})))) AS DOUBLE) AS sign,
+         list_filter(ws, lambda w: w IN ({_list(_BUCKET_NOUNS)})) AS terms
+  FROM (SELECT rid, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM reviews) t) r,
+  unnest(generate_series(1, len(terms))) AS g(i)"""
+
+
 def _bucket(words: vocab.Vocabulary, x: str, fragments: vocab.Vocabulary | None = None) -> str:
     out = [f"WHEN {x} IN ({_list(ws)}) THEN '{b}'" for b, ws in words.items()]
     for b, parts in (fragments or {}).items():
@@ -558,7 +569,7 @@ def _bucket(words: vocab.Vocabulary, x: str, fragments: vocab.Vocabulary | None
     return f"CASE {' '.join(out)} END"
 
 
-def _bucket_query(mean: bool) -> str:
+def _bucket_query(mean: bool, source: str = "extracted") -> str:
     x = "regexp_replace(trim(lower(term)), 's$', '')" if mean else "lower(term)"
     b = (
         _bucket(vocab.BUCKETS_LOOSE, x, vocab.BUCKET_FRAGMENTS)
@@ -578,7 +589,7 @@ def _bucket_query(mean: bool) -> str:
     )
     return f"""
 SELECT r.review_id, {scores}, {lists}
-FROM reviews r LEFT JOIN (SELECT *, {b} AS b FROM extracted) e USING (rid) GROUP BY rid, r.review_id"""
+FROM reviews r LEFT JOIN (SELECT *, {b} AS b FROM {source}) e USING (rid) GROUP BY rid, r.review_id"""
 
 
 # --- assembly ---------------------------------------------------------------------------------
@@ -706,7 +717,7 @@ SELECT business_id, aspect, {_r('sum(w * positive_aspect_ratio)')} AS weighted_p
        CAST(sum(positive_aspect_count) AS BIGINT) AS positive_aspect_count_sum,
        CAST(sum(negative_aspect_count) AS BIGINT) AS negative_aspect_count_sum,
        {_r('sum(w * positive_aspect_ratio) / sum(w)')} AS weighted_mean
-FROM scored s JOIN scored_weights w ON w.user_id = s.user_id WHERE aspect IS NOT NULL
+FROM scored s JOIN scored_weights w ON w.user_id = s.user_id
 GROUP BY business_id, aspect HAVING count(*) >= 3""",
     "zscore_vectors": f"SELECT business_id, {_Z} FROM vecs_z",
     "top_words": f"""
@@ -770,6 +781,7 @@ SELECT coalesce(a.label, 'none') AS tfidf_label, coalesce(s.word_label, 'none')
 FROM seed_terms t JOIN asp_assign a ON a.term = t.term JOIN seed_labels s ON lower(s.aspect_seed) = t.term GROUP BY ALL""",
     "term_bucket_sum": _bucket_query(False),
     "term_bucket_mean": _bucket_query(True),
+    "batch_score": _bucket_query(True, "keyword_terms"),
     "cluster_profile": "SELECT CAST(cluster AS BIGINT) AS cluster, count(*) AS n, " + ", ".join(f"{_r(f'avg({a})')} AS avg_{a}" for a in ASPECTS) + " FROM described GROUP BY cluster",
     "weighted_assign": "SELECT business_id, CAST(cluster AS BIGINT) AS cluster, CAST(cluster_weighted AS BIGINT) AS cluster_weighted FROM moved",
     "cluster_size_compare": """

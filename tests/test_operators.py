@@ -455,6 +455,9 @@ def test_jobs_end_to_end(spark, sf):
     from plaudit.sources import standins
 
     reviews, places = standins.reviews(spark, sf), standins.business(spark, sf)
+    some = jobs.absa(reviews, places, domain="(?i)widget")["pairs"]
+    inside = places.where("lower(categories) like '%widget%'")
+    assert 0 < some.count() == jobs.extract(reviews.join(inside, "business_id", "left_semi")).count()
     out = jobs.absa(reviews, places)
     n = out["scored"].count()
     assert out["weighted"].count() == n

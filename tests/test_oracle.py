@@ -15,7 +15,7 @@ def duck(sf):
 
 def test_contract(spark):
     assert set(SQL) <= set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
-    assert set(QUERIES) - set(SQL) == {"batch_score", "kmeans_clusters", "kmeans_quality"}
+    assert set(QUERIES) - set(SQL) == {"kmeans_clusters", "kmeans_quality"}
     assert entry.entry(spark).count() > 0
 
 
