@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 from ..functions import vocab
-from .catalog import ADJECTIVES, CENTRES, DOMAIN, LANGS, NOUNS, SLIDERS
+from .catalog import ADJECTIVES, CENTRES, DOMAIN, EXTRACTED, LANGS, NOUNS, SLIDERS
 
 ASPECTS = ("food", "service", "price", "amb")
 
@@ -39,6 +39,12 @@ def _case8(words: list[str], k: str) -> str:
 _ADJ = "great delicious friendly slow overpriced cozy bland good".split()
 _NOUN = "food pizza service staff price value music decor".split()
 
+_ENDING = [
+    "", " They left the rice cold.", " A host who was so kind and quick.", " The cup of tea was hot and sweet.",
+    " Bread and fish were dry.", " Really nice waiters, small portions, stale fries.",
+    " The clean rooms of the place are quiet and not noisy.", " They make great desserts and keep the tables dirty.",
+]
+
 _CTES: dict[str, str] = {}
 
 _CTES["ratings"] = """
@@ -59,7 +65,8 @@ SELECT row_number() OVER () AS rid,
               CASE WHEN l_linestatus = 'O' THEN 'very ' ELSE '' END,
               {_case8(_ADJ, 'l_linenumber + l_suppkey')}, '. We had ',
               {_case8(_ADJ, 'l_orderkey')}, ' ', {_case8(_NOUN, 'l_orderkey + l_linenumber')},
-              '! Also the ', split_part(p_name, ' ', 2), ' is ', split_part(p_name, ' ', 1), '.') AS text
+              '! Also the ', split_part(p_name, ' ', 2), ' is ', split_part(p_name, ' ', 1), '.',
+              {_case8(_ENDING, 'l_orderkey + l_suppkey')}) AS text
 FROM lineitem JOIN part ON l_partkey = p_partkey"""
 
 _CTES["business"] = """
@@ -543,11 +550,11 @@ SELECT f.*, p AS lb_pvalue_12, CASE WHEN best_order = 2 THEN phi2 ELSE phi1 END
 
 # --- extracted terms --------------------------------------------------------------------------
 
-_CTES["extracted"] = """
+_CTES["extracted"] = f"""
 SELECT rid, i, terms[i] AS term, sign FROM (
   SELECT rid, CASE WHEN stars >= 4 THEN 1.0 WHEN stars <= 2 THEN -1.0 ELSE 0.0 END AS sign,
          list_filter(regexp_extract_all(lower(text), '[a-zA-Z'']+'),
-                     lambda w: w IN ('food','pizza','service','staff','price','value','music','decor','plate')) AS terms
+                     lambda w: w IN ({_list(EXTRACTED)})) AS terms
   FROM reviews) r, unnest(generate_series(1, len(terms))) AS g(i)"""
 
 

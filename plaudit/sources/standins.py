@@ -11,6 +11,14 @@ _ADJ = ["great", "delicious", "friendly", "slow", "overpriced", "cozy", "bland",
 _NOUN = ["food", "pizza", "service", "staff", "price", "value", "music", "decor"]
 
 
+# One ending per review, so that every kind of pair, of-phrases, lists and plurals occur.
+_ENDING = [
+    "", " They left the rice cold.", " A host who was so kind and quick.", " The cup of tea was hot and sweet.",
+    " Bread and fish were dry.", " Really nice waiters, small portions, stale fries.",
+    " The clean rooms of the place are quiet and not noisy.", " They make great desserts and keep the tables dirty.",
+]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -60,6 +68,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(". We had "), _pick(_ADJ, order), F.lit(" "), _pick(_NOUN, order + line),
         F.lit("! Also the "), F.split_part("p_name", F.lit(" "), F.lit(2)),
         F.lit(" is "), F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit("."),
+        _pick(_ENDING, order + supp),
     )
     return joined.select(
         F.concat_ws("-", order, line, part, supp).alias("review_id"),
