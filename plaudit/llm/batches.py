@@ -7,8 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH_BYTES = 16 << 20
-PIECE_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20
+PIECE_BYTES = 1 << 18
 
 #: A batch in, batches out; called once per task with the iterator of the task's batches.
 TaskFunction = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]

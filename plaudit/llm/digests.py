@@ -33,6 +33,7 @@ from plaudit.llm.shingles import Words, _powers, _room
 
 WINDOW = 64
 STRETCH = 16
+PIECE = 1 << 18  # bytes whose windows are held at once
 BITS = 2048
 HASHES = 5
 LEVELS = 1001
@@ -183,7 +184,7 @@ def as_text(chain: np.ndarray) -> str:
 def fingerprints(texts: list[str], rank: np.ndarray, choice: Choice = Choice()) -> list[np.ndarray]:
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     out: list[np.ndarray] = []
-    for part in groups_by_size([len(b) for b in raw]):
+    for part in groups_by_size([len(b) for b in raw], PIECE):
         out += [filters(h, choice) for h in features(raw[part], rank, choice)]
     return out
 

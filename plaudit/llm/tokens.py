@@ -20,7 +20,7 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: The pattern by which word_bpe_49k cuts words (as its file states it).
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
