@@ -49,38 +49,42 @@ def as_chains(conversations: DataFrame) -> DataFrame:
 
 
 def jumps(nodes: DataFrame) -> list[DataFrame]:
-    """Stored tables (conv_id, node, up, steps, total): ``up`` is ``steps`` above the node, or the
-    root if that is nearer (null for a root itself); ``total`` sums the scores below ``up``.
+    """Stored tables (conv_id, node, up, steps, total, top): ``up`` is ``steps`` above the node, or
+    the root if that is nearer (null for a root itself); ``total`` sums the scores below ``up``;
+    ``top``: nothing stands above ``up``.  Only nodes that are not at the top yet are joined again.
     """
     known = nodes.select("conv_id", F.col("node").alias("parent"), F.lit(True).alias("there"))
     up = F.when(F.col("there"), F.col("parent"))
-    first = nodes.join(known, ["conv_id", "parent"], "left").select(
-        "conv_id", "node", up.alias("up"), F.when(up.isNotNull(), 1).otherwise(0).cast("long").alias("steps"),
-        F.coalesce("score", F.lit(0.0)).alias("total"),
+    first = materialize(
+        nodes.join(known, ["conv_id", "parent"], "left").select(
+            "conv_id", "node", up.alias("up"),
+            F.when(up.isNotNull(), 1).otherwise(0).cast("long").alias("steps"),
+            F.coalesce("score", F.lit(0.0)).alias("total"),
+        ),
+        "jumps",
     )
-    tables = [materialize(first, "jumps")]
+    roots = first.where("up is null").select("conv_id", F.col("node").alias("up"), F.lit(True).alias("root"))
+    top = F.col("up").isNull() | F.col("root").isNotNull()
+    tables = [materialize(first.join(roots, ["conv_id", "up"], "left").withColumn("top", top).drop("root"), "jumps")]
     open_before = None
     while True:
         last = tables[-1]
-        above = last.where("up is not null").select(
-            "conv_id", F.col("node").alias("up"), F.col("up").alias("up2"),
-            F.col("steps").alias("steps2"), F.col("total").alias("total2"),
-        )
-        further = last.join(above, ["conv_id", "up"], "left").select(
-            "conv_id", "node", F.coalesce("up2", "up").alias("up"),
-            (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"),
-            (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"),
-            F.col("up2").isNotNull().alias("moved"),
-        )
-        further = materialize(further, "jumps")
-        open_now = further.where("moved").count()
+        open_now = last.where("not top").count()
         if open_now == 0:
             return tables
-        if open_now == open_before:  # what still moves runs in rings
-            tables.append(further.where("not moved").drop("moved"))
+        if open_now == open_before:  # what is still open runs in rings
+            tables.append(last.where("top"))
             return tables
         open_before = open_now
-        tables.append(further.drop("moved"))
+        above = last.where("up is not null").select(
+            "conv_id", F.col("node").alias("up"), F.col("up").alias("up2"),
+            F.col("steps").alias("steps2"), F.col("total").alias("total2"), F.col("top").alias("top2"),
+        )
+        moved = last.where("not top").join(above, ["conv_id", "up"]).select(
+            "conv_id", "node", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"),
+            (F.col("total") + F.col("total2")).alias("total"), F.col("top2").alias("top"),
+        )
+        tables.append(materialize(last.where("top").unionByName(moved), "jumps"))
 
 
 def best_leaves(nodes: DataFrame, tables: list[DataFrame], keep: int = 1) -> DataFrame:
