@@ -99,10 +99,14 @@ def learn(docs: DataFrame, setup: Setup = Setup()) -> tuple[np.ndarray, list[str
     """(idf, language of each centroid, centroids, smallest accepted cosine of each)."""
     known = docs.where("lang is not null and text is not null").select("lang", "text")
     idf = document_frequencies(known, setup)
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
-    some = known.where(F.col("text").rlike(r"\p{L}")).withColumn("rank", first).where(
-        F.col("rank") <= setup.per_language
+    # Hashes of texts are chosen first: per_language for each language, few enough to broadcast.
+    lettered = known.where(F.col("text").rlike(r"\p{L}")).withColumn("hash", F.xxhash64("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    chosen = (
+        lettered.groupBy("lang", "hash").agg(F.count(F.lit(1)).alias("copies"))
+        .withColumn("rank", first).where(F.col("rank") <= setup.per_language).select("lang", "hash")
     )
+    some = lettered.join(F.broadcast(chosen), ["lang", "hash"]).groupBy("lang", "hash").agg(F.min("text").alias("text"))
     schema = pa.schema([("lang", pa.string()), ("limit", pa.float64()), ("centre", pa.binary())])
 
     def cluster(group: pa.Table) -> pa.Table:
