@@ -39,3 +39,12 @@ def test_pipeline(spark, sf):
     run = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in run.select("doc_id").collect()} == {r.doc_id for r in seen.collect()}
     assert sorted(run.columns) == sorted(packing.packed(docs.limit(1)).columns)
+
+
+def test_pipeline_finds_near_copies_of_five_words_and_080(spark, sf):
+    """One edit per fifty words: 0.82 over five words, under 0.9 over three; 0.77 is no near copy."""
+    words = [f"w{i}" for i in range(200)]
+    near = [("x" if i % 50 == 25 else w) for i, w in enumerate(words)]
+    far = [("y" if i % 40 == 20 else w) for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate((words, near, far))], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.unique(spark, docs, sf).collect()} == {0, 2}
