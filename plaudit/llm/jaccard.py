@@ -322,14 +322,14 @@ def links_between(docs: DataFrame, sets: DataFrame, by: Similarity) -> DataFrame
     stars = candidates(docs, classes, by, plan, edges)
     if stars.isEmpty():
         return None
-    best = F.max(F.struct("score", "b")).alias("best")
+    # Every set of a cluster is held, also a lead that is the best one of no other set.
+    first = stars.groupBy("k1", "a").agg(F.max(F.struct("score", "b")).alias("best"))
+    chosen = first.select(F.col("best.b").alias("b"), F.lit(True).alias("leads")).distinct()
     wanted = (
-        stars.groupBy("k1", "a").agg(best)
-        .select("k1", "a", F.col("best.b").alias("lead"), F.lit(False).alias("leads"))
+        first.select("k1", "a", F.col("best.b").alias("lead"), F.lit(False).alias("leads"))
         .union(
-            stars.groupBy("k1", "a").agg(best).join(
-                stars.select(F.col("b"), F.col("k1b")).distinct(), F.col("best.b") == F.col("b")
-            ).select("k1b", "b", F.lit(None).cast("long"), F.lit(True)).distinct()
+            stars.select("k1b", "b").distinct().join(chosen, "b", "left")
+            .select("k1b", "b", F.lit(None).cast("long"), F.coalesce("leads", F.lit(False)))
         )
         .groupBy("k1", "a").agg(F.max("lead").alias("lead"), F.max("leads").alias("leads"))
     )

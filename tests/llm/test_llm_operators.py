@@ -411,6 +411,18 @@ def test_components_equal_brute_force(spark, percent):
     assert got == {i: (want[i], len(shingled(t))) for i, t in enumerate(texts)}
 
 
+def test_a_lead_that_is_nobodys_best_is_compared(spark, monkeypatch):
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(words), " ".join([*words[:-1], "x"]), " ".join(f"v{i}" for i in range(100))]
+    keys = [jaccard.set_key(s, 11) for s in jaccard.shingle_sets(texts, 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # Set 1 met set 0, which links, and set 2, which does not and is better connected.
+    met = [(keys[1], 1, keys[0], 0, 2), (keys[1], 1, keys[2], 2, 9)]
+    stars = spark.createDataFrame(met, "k1 long, a long, k1b long, b long, score long")
+    monkeypatch.setattr(jaccard, "candidates", lambda *_: stars)
+    assert {r.doc_id: r.component_id for r in jaccard.near_groups(docs).collect()} == {0: 0, 1: 0, 2: 2}
+
+
 def test_pigeonhole_mixes_are_safe():
     for percent in (80, 90):
         for size in (1, 5, 10, 19, 60, 500):
