@@ -2,8 +2,9 @@
 
 Three fixed patterns give the base spans.  Besides them, two character Markov models of order one
 are trained, one on labelled random strings and one on labelled ordinary identifiers; a candidate
-token whose mean log-likelihood ratio per step exceeds ``margin`` is a span of kind ``markov``
-unless it overlaps a base span.
+token is a span of kind ``markov``, unless it overlaps a base span, if any stretch of it, of at
+least ``shortest`` characters, has a mean log-likelihood ratio per step above ``margin``: so a
+secret joined to a path, a key or a name counts.  The span is the whole token.
 
 The labels come from the documents themselves: values caught by the base patterns are random
 strings, all other runs of ``NAME`` characters are ordinary.  Training reads about
@@ -22,6 +23,8 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plaudit.functions.bind import let
+
 ASSIGN = (
     r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]"""
     r"""|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -192,14 +195,39 @@ def _conditional(counts: list[int], smoothing: float) -> list[float]:
     return out
 
 
-def looks_random(token: Column, model: list[float], margin: float) -> Column:
-    """A letter in it, and a mean log-likelihood ratio per step above ``margin``.
+def looks_random(token: Column, model: list[float], margin: float, shortest: int) -> Column:
+    """Some stretch of at least ``shortest`` characters has a letter in it and a mean log-likelihood
+    ratio per step above ``margin``.
 
-    ``token``: at least two characters of ALPHABET.
+    ``token``: at least ``shortest`` characters of ALPHABET.  One pass keeps, of the stretches that
+    end at a step, the last ``m`` steps and the best sums of at least ``m``, with any characters and
+    with a letter; what each step adds is its ratio less the margin.
     """
-    table = F.expr("array(" + ",".join(f"{x!r}D" for x in model) + ")")
-    total = F.aggregate(_steps(token), F.lit(0.0), lambda s, i: s + table[i])
-    return token.rlike("[A-Za-z]") & (total > margin * (F.length(token) - 1))
+    table = F.expr("array(" + ",".join(f"{x - margin!r}D" for x in model) + ")")
+    m, low, none = max(shortest - 1, 1), F.lit(float("-inf")), F.lit(-1)
+    letter = lambda at: at < 52
+    start = F.struct(
+        F.lit(0.0).alias("last"), low.alias("any"), low.alias("lettered"), low.alias("top"), none.alias("at")
+    )
+
+    def holds(steps: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            adds = table[steps[i]]
+            last = s["last"] + adds - F.when(i >= m, table[steps[i - m]]).otherwise(0.0)
+            window = F.when(i >= m - 1, last).otherwise(low)
+            now = letter(F.pmod(steps[i], F.lit(SIZE)))
+            at = F.when(now, i + 1).when(letter(F.floor(steps[i] / SIZE)), i).otherwise(s["at"])
+            longer = F.when(now, s["any"]).otherwise(s["lettered"]) + adds
+            lettered = F.greatest(F.when(at > i - m, window).otherwise(low), longer)
+            return F.struct(
+                last.alias("last"), F.greatest(window, s["any"] + adds).alias("any"), lettered.alias("lettered"),
+                F.greatest(s["top"], lettered).alias("top"), at.alias("at"),
+            )
+
+        found = F.aggregate(F.sequence(F.lit(0), F.size(steps) - 1), start, step)
+        return found["top"] > 0
+
+    return let(_steps(token), holds)
 
 
 def with_spans(df: DataFrame, model: list[float], markov: Markov, text: str) -> DataFrame:
@@ -210,7 +238,7 @@ def with_spans(df: DataFrame, model: list[float], markov: Markov, text: str) ->
 
     def random(x: Column) -> Column:
         free = ~F.exists("__base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-        return free & looks_random(x["m"], model, markov.margin)
+        return free & looks_random(x["m"], model, markov.margin, markov.shortest)
 
     return out.withColumn("__markov", F.filter("__markov", random)).drop("__base")
 
@@ -265,7 +293,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", markov: Markov = Markov(), m
     shown = F.zip_with(
         "pieces",
         F.transform(
-            "found", lambda m: F.when(looks_random(m, model, markov.margin), F.lit(mark)).otherwise(m)
+            "found", lambda m: F.when(looks_random(m, model, markov.margin, markov.shortest), F.lit(mark)).otherwise(m)
         ),
         lambda p, m: F.concat(p, F.coalesce(m, F.lit(""))),
     )

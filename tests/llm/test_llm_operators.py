@@ -82,6 +82,43 @@ def test_markov_models_tell_random_from_ordinary(spark):
     assert all(found[i] == 1 for i in range(50)) and not any(found[100 + i] for i in range(50))
 
 
+def test_secrets_joined_to_ordinary_characters(spark):
+    rng = random.Random(5)
+    key = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    name = lambda n, by: by.join(rng.choice(["user", "table", "index", "value", "counter", "handler", "request"]) for _ in range(n))
+    sample = [(key(24), True) for _ in range(400)] + [(name(4, rng.choice("_/-=")), False) for _ in range(800)]
+    model = secrets.train(spark.createDataFrame(sample, "sample string, random boolean"))
+    shapes = ["{n}/{k}", "{n}={k}", "{n}-{k}", "{k}/{n}", "{n}_{k}_{n}"]
+    keys = [key(32) for _ in range(50)]
+    texts = [(i, "see " + shapes[i % 5].format(n=name(8, "/_-"[i % 3]), k=k) + " in file") for i, k in enumerate(keys)]
+    texts += [(100 + i, f"see {name(12, '/_-='[i % 4])} in file") for i in range(50)]
+    texts += [(200, "see " + "1234567890" * 2 + " in file")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {r.doc_id: r.n_markov for r in secrets.scan(docs, model=model).collect()}
+    assert all(found[i] == 1 for i in range(50)) and not any(n for i, n in found.items() if i >= 100)
+    out = {r.doc_id: r.text for r in secrets.redact(docs, model=model).collect()}
+    assert not any(k in out[i] for i, k in enumerate(keys)) and all(out[i] == t for i, t in texts if i >= 100)
+
+
+def test_best_stretch_equals_brute_force(spark):
+    rng = random.Random(6)
+    model = [rng.uniform(-2, 2) for _ in range(secrets.SIZE**2)]
+    step = lambda a, b: model[secrets.ALPHABET.index(a) * secrets.SIZE + secrets.ALPHABET.index(b)]
+    tokens = ["".join(rng.choice("abXY01-/") for _ in range(rng.randint(4, 24))) for _ in range(300)] + ["0" * 9, "0123-1032-a"]
+
+    def holds(t, margin, shortest):
+        for i in range(len(t)):
+            for j in range(i + shortest, len(t) + 1):
+                if re.search("[A-Za-z]", t[i:j]) and sum(map(step, t[i : j - 1], t[i + 1 : j])) > margin * (j - i - 1):
+                    return True
+        return False
+
+    df = spark.createDataFrame([(t,) for t in tokens], "t string")
+    for margin, shortest in ((0.7, 4), (1.1, 6), (0.9, 9)):
+        got = [r[0] for r in df.select(secrets.looks_random(F.col("t"), model, margin, shortest)).collect()]
+        assert got == [holds(t, margin, shortest) for t in tokens] and len(set(got)) == 2
+
+
 def test_redaction(spark, odd, none):
     out = secrets.redact(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
