@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word enters as the embedding of its spelling (frequent words only) beside a vector of its
-characters by place.  The network reads windows of ``window`` words, each overlapping the next by
+bytes by place; a longer stretch than there are places enters as several words, first cut at
+punctuation and then by length.  The network reads windows of ``window`` words, each overlapping the next by
 a quarter; a text scores as its most toxic window.  Training takes a bounded sample of labelled
 documents (``positives`` and ``negatives`` of at most ``longest`` characters, the first by a hash
 of their id) to the driver; the network it gives has a fixed size.  Scoring reads every whole text.
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from plaudit.llm.batches import column_of, groups_by_size, map_tasks, rows, texts_of
 
 STRIP = b".,;:!?*&%$#|<>()[]{}\"'`-_=+/\\~^@"
+_APART = bytes.maketrans(STRIP, b" " * len(STRIP))
+CLASSES = 29 + 128  # none, letters, digits, other ASCII, each byte beyond ASCII
 Params = dict[str, np.ndarray]
 
 
@@ -57,6 +60,18 @@ def words_in(text: str) -> list[bytes]:
     return [w.strip(STRIP) for w in text.lower().encode("utf-8", "surrogatepass").split()]
 
 
+def pieces(words: list[bytes], places: int) -> list[bytes]:
+    """The words, those of more than ``places`` bytes in pieces, so that no byte is left out."""
+    out: list[bytes] = []
+    for w in words:
+        if len(w) <= places:
+            out.append(w)
+            continue
+        for part in w.translate(_APART).split():
+            out += [part[i : i + places] for i in range(0, len(part), places)]
+    return out
+
+
 def vocabulary(texts: list[list[bytes]], at_least: int) -> dict[bytes, int]:
     """Words of at least so many documents, numbered from 1; 0 is every other word."""
     met = Counter(w for words in texts for w in set(words))
@@ -64,10 +79,12 @@ def vocabulary(texts: list[list[bytes]], at_least: int) -> dict[bytes, int]:
 
 
 def spelling(words: list[bytes], places: int) -> np.ndarray:
-    """Of each word the classes of its first bytes: 1-26 letters, 27 digits, 28 others, 0 none."""
-    raw = np.frombuffer(b"".join(w[:places].ljust(places, b"\0") for w in words), np.uint8)
+    """Of each word, of at most ``places`` bytes, the class of every byte: 1-26 letters, 27 digits,
+    28 other ASCII, above that one for each byte beyond ASCII, 0 none."""
+    raw = np.frombuffer(b"".join(w.ljust(places, b"\0") for w in words), np.uint8)
     table = np.full(256, 28, np.int64)
     table[0] = 0
+    table[128:] = np.arange(29, CLASSES)
     table[ord("a") : ord("z") + 1] = np.arange(1, 27)
     table[ord("0") : ord("9") + 1] = 27
     return table[raw].reshape(len(words), places)
@@ -92,6 +109,7 @@ class Windows:
 
 def windows_of(texts: list[list[bytes]], vocab: dict[bytes, int], setup: Setup) -> Windows:
     number: dict[bytes, int] = {b"": 0}
+    texts = [pieces(t, setup.places) for t in texts]
     coded = [np.fromiter((number.setdefault(w, len(number)) for w in t), np.int64, len(t)) for t in texts]
     distinct = list(number)
     cuts, owner = [], []
@@ -118,7 +136,7 @@ def fresh(n_words: int, s: Setup) -> Params:
     draw = lambda *shape: (rng.standard_normal(shape) * 0.3).astype(np.float32)
     out = {
         "word": np.concatenate([np.zeros((1, s.word_dims), np.float32), draw(n_words, s.word_dims)]),
-        "char": draw(s.places, 29, s.char_dims),
+        "char": draw(s.places, CLASSES, s.char_dims),
         "att": draw(2 * h, h), "att_v": draw(h), "out": draw(2 * h), "bias": np.full(1, -1, np.float32),
     }
     for way in "fb":
@@ -219,7 +237,7 @@ def gradients(p: Params, w: Windows, chosen: np.ndarray, truth: np.ndarray, weig
 def fit(texts: list[str], toxic: list[int], setup: Setup = Setup()) -> tuple[Params, dict[bytes, int]]:
     """Parameters and vocabulary; Adam over the highest window of each document."""
     words = [words_in(t) for t in texts]
-    vocab = vocabulary(words, setup.frequent)
+    vocab = vocabulary([pieces(t, setup.places) for t in words], setup.frequent)
     p = fresh(len(vocab), setup)
     truth = np.array(toxic, np.float32)
     if len(set(toxic)) < 2:
@@ -270,7 +288,7 @@ def score(texts: list[str], p: Params, vocab: dict[bytes, int], setup: Setup) ->
         best = np.full(part.stop - part.start, -np.inf)
         for start in range(0, len(w.at), 2048):
             some = np.arange(start, min(start + 2048, len(w.at)))
-            np.maximum.at(best, w.text[some], forward(p, w, some))
+            np.maximum.at(best, w.text[some], forward(p, _part(w, some)))
         out += _sigmoid(best).tolist()
     return out
 

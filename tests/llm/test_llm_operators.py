@@ -365,6 +365,31 @@ def test_windows_cover_every_word():
         assert set(range(n)) <= {i for s in starts for i in range(s, s + 8)} and max(starts) + 8 <= max(n, 8)
 
 
+def test_every_byte_of_long_words_is_read():
+    setup = toxicity.Setup()
+    text = "ordinary internationalization x_y.horribleword 日本語の長い文章には空白がありません http://a.example/some/path/awful"
+    words = toxicity.pieces(toxicity.words_in(text), setup.places)
+    assert all(0 < len(w) <= setup.places for w in words)
+    letters = lambda raw: bytes(b for b in raw if b not in toxicity.STRIP and b not in b" ")
+    assert letters(b"".join(words)) == letters(text.encode())
+    assert b"awful" in words and b"path" in words
+    spelled = toxicity.spelling(["日本".encode(), "日木".encode(), "ไท".encode()], setup.places)
+    assert len({tuple(r) for r in spelled}) == 3
+
+
+def test_toxic_words_behind_other_characters(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3))
+    plain = [word() for _ in range(60)]
+    prose = lambda n: [rng.choice(plain) for _ in range(n)]
+    texts = [" ".join(prose(20)) for _ in range(200)] + [" ".join([*prose(10), "zxqkvw", *prose(10)]) for _ in range(200)]
+    setup = toxicity.Setup(positives=200, negatives=200)
+    params, vocab = toxicity.fit(texts, [0] * 200 + [1] * 200, setup)
+    clean = toxicity.score(["_".join(prose(20)) for _ in range(20)], params, vocab, setup)
+    joined = toxicity.score(["_".join([*prose(10), "zxqkvw", *prose(10)]) for _ in range(20)], params, vocab, setup)
+    assert min(joined) > max(clean)
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
