@@ -39,7 +39,9 @@ HASHES = 5
 LEVELS = 1001
 #: c log2 c in thousandths, for counts up to the window: whole numbers, so that sums are exact.
 _TERM = np.round([c * np.log2(c) * 1000 if c else 0 for c in range(WINDOW + 1)]).astype(np.int64)
-NONE = np.int64(1 << 40)
+#: Above every rank; a key holds the rank over PLACE bits of position, enough for any text.
+NONE = np.int64(1 << 10)
+PLACE = np.int64(40)
 
 
 @dataclass(frozen=True)
@@ -126,17 +128,17 @@ def features(texts: list[bytes], rank: np.ndarray, choice: Choice = Choice()) ->
         prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
     here = np.arange(n)
     stretch = Words(here, here + WINDOW, here, prefix).stretch
-    key = np.full(n + 2 * WINDOW, NONE << np.int64(22), np.int64)
+    key = np.full(n + 2 * WINDOW, NONE << PLACE, np.int64)
     if n >= WINDOW:
         found = levels(buffer)
         valid = inside[: len(found)]
-        key[WINDOW : WINDOW + len(found)] = np.where(valid, rank[found], NONE) << np.int64(22)
+        key[WINDOW : WINDOW + len(found)] = np.where(valid, rank[found], NONE) << PLACE
     key += np.arange(len(key))
     lowest = key
     for step in (1, 2, 4, 8, 16, 32):
         lowest = np.minimum(lowest[:-step], lowest[step:])
-    lowest = lowest[lowest < NONE << np.int64(22)]
-    at, points = np.unique(lowest & np.int64((1 << 22) - 1), return_counts=True)
+    lowest = lowest[lowest < NONE << PLACE]
+    at, points = np.unique(lowest & np.int64((1 << PLACE) - 1), return_counts=True)
     at = at[points >= choice.points] - WINDOW
     hashes = stretch(at, at) if len(at) else np.zeros(0, np.uint64)
     cuts = np.searchsorted(at, np.append(starts, n))

@@ -158,6 +158,37 @@ def test_fingerprints_do_not_depend_on_neighbours():
     assert digests.likeness(together[-1], together[-1]) == 1
 
 
+def test_fingerprints_of_a_text_above_four_mib():
+    rng = np.random.default_rng(9)
+    text = rng.integers(97, 123, (1 << 22) + 60_000).astype(np.uint8)
+    rank = digests.ranks(rng.integers(1, 1 << 40, digests.LEVELS))
+    choice = digests.Choice()
+    # Unpacked: the rank of every window, and the leftmost rarest of each run of windows.
+    found = rank[digests.levels(text)]
+    room = np.full(digests.WINDOW, digests.NONE)
+    runs = np.lib.stride_tricks.sliding_window_view(np.concatenate([room, found, room]), digests.WINDOW)
+    points = np.zeros(len(found) + 2 * digests.WINDOW, np.int64)
+    for start in range(0, len(runs), 1 << 18):
+        part = runs[start : start + (1 << 18)]
+        at = part.argmin(axis=1)
+        chosen = part[np.arange(len(part)), at] < digests.NONE
+        np.add.at(points, (start + np.arange(len(part)) + at)[chosen], 1)
+    want = np.flatnonzero(points >= choice.points) - digests.WINDOW
+    got = digests.features([text.tobytes()], rank, choice)[0]
+    assert len(got) == len(want) and (want > 1 << 22).any()
+    for i in [*range(0, len(want), len(want) // 50), len(want) - 1]:
+        alone = text[want[i] : want[i] + digests.STRETCH * 4].tobytes()
+        near = digests.Words(np.arange(64), np.arange(64) + 64, np.arange(64), _prefix(alone)).stretch(np.array([0]), np.array([0]))
+        assert near[0] == got[i]
+
+
+def _prefix(raw):
+    buffer = np.frombuffer(raw, np.uint8)
+    with np.errstate(over="ignore"):
+        terms = buffer.astype(np.uint64) * digests._powers(digests._room(len(buffer) + 1))[0][: len(buffer)]
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+
+
 def test_edited_texts_follow_the_next_document(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     order = sorted(docs.select("doc_id", "text").collect(), reverse=True)
