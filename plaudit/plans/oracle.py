@@ -728,7 +728,7 @@ FROM scored s JOIN scored_weights w ON w.user_id = s.user_id
 GROUP BY business_id, aspect HAVING count(*) >= 3""",
     "zscore_vectors": f"SELECT business_id, {_Z} FROM vecs_z",
     "top_words": f"""
-SELECT word, count(*) AS n FROM doc_words WHERE word NOT IN ({_list(vocab.STOP_WORDS)})
+SELECT word, count(*) AS n FROM doc_words WHERE word NOT IN ({_list(vocab.STOP_WORDS)}) AND length(word) >= 3
 GROUP BY word ORDER BY n DESC, word LIMIT 200""",
     "term_counts": "SELECT term, n FROM seed_terms",
     "top_reviewers": "SELECT o_custkey AS user_id, count(*) AS n_reviews_total FROM orders GROUP BY o_custkey ORDER BY 2 DESC, 1 LIMIT 100",
