@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from plaudit.llm import bpe, chat, digests, jaccard, language, packing, quality, repair, secrets, toxicity
+from plaudit.llm import bpe, chat, digests, jaccard, language, mixing, packing, quality, repair, secrets, toxicity, trie, variants
 from plaudit.llm.batches import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,23 @@ def op10_repair_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_back(repair.shards(documents(spark, sf_dir)))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_secret_scans, op2_document_fingerprints, op3_chat_formatting, op4_quality_rules, op5_best_fit_packing, op6_bpe_tree, op7_toxicity, op8_language_id, op9_ngram_jaccard, op10_repair_output)
+    f.__name__: f
+    for f in (
+        op1_secret_scans, op2_document_fingerprints, op3_chat_formatting, op4_quality_rules, op5_best_fit_packing,
+        op6_bpe_tree, op7_toxicity, op8_language_id, op9_ngram_jaccard, op10_repair_output, op11_prefix_trie,
+        op12_source_mixing, op13_spelling_variants,
+    )
 } | {"pipeline": corpus_pipeline.run}

@@ -11,7 +11,7 @@ from plaudit.llm.queries import QUERIES
 
 
 def test_contract():
-    assert [f"op{n}" for n in range(1, 11)] == [q.split("_")[0] for q in QUERIES if q != "pipeline"]
+    assert [f"op{n}" for n in range(1, 14)] == [q.split("_")[0] for q in QUERIES if q != "pipeline"]
     assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(QUERIES)
 
 
@@ -31,7 +31,7 @@ def test_pipeline(spark, sf):
         if name == "quality_rules":
             assert ids == {r.doc_id for r in quality.quality(seen).where("kept").collect()}
         if name == "ngram_jaccard":
-            assert ids == {r.component_id for r in jaccard.near_groups(seen).collect()}
+            assert ids == {r.component_id for r in jaccard.near_groups(seen, corpus_pipeline.NEAR).collect()}
         if name == "secret_scans":
             assert ids == before and secrets.scan(out).agg({"n_hex": "sum", "n_access": "sum"}).first()[0] == 0
         assert ids <= before and len(ids) > 0.5 * len(before)
