@@ -115,8 +115,10 @@ would
 
 # --- Starter vocabularies (own choice; replace them with tables of your own) -----------------
 LINKING_VERBS = (
-    "is are was were be been looks looked tastes tasted feels felt seems seemed smells smelled"
+    "is are was were be been look looks looked taste tastes tasted feel feels felt seem seems seemed smell smells smelled"
 ).split()
+# Words between a conjunction and the verb it adds, as in "and did not taste".
+AUXILIARIES = "did do does has have had also still even always then would could can will".split()
 CAUSATIVE_VERBS = "make makes made find finds found leave leaves left keep keeps kept".split()
 DETERMINERS = "the a an my our your their his her its this that these those".split()
 RELATIVES = "that which who".split()

@@ -623,11 +623,10 @@ def kmeans_clusters(spark, d):
 @query
 def kmeans_quality(spark, d):
     stored = materialize(_vectors(spark, d), "vectors")
-    clustered = cluster.kmeans_clusters(stored)
-    value = cluster.silhouette(clustered)
-    return clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "silhouette", F.lit(float(value))
-    )
+    clustered = cluster.silhouette_values(cluster.kmeans_clusters(stored))
+    per_cluster = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("silhouette").alias("s"))
+    whole = per_cluster.agg((F.sum("s") / F.sum("n")).alias("x")).scalar()
+    return per_cluster.select("cluster", "n", (F.col("s") / F.col("n")).alias("silhouette"), whole.alias("overall"))
 
 
 @query

@@ -40,8 +40,8 @@ _ADJ = "great delicious friendly slow overpriced cozy bland good".split()
 _NOUN = "food pizza service staff price value music decor".split()
 
 _ENDING = [
-    "", " They left the rice cold.", " A host who was so kind and quick.", " The cup of tea was hot and sweet.",
-    " Bread and fish were dry.", " Really nice waiters, small portions, stale fries.",
+    "", " They left the rice cold.", " A host who was so kind and quick.", " The cup of tea was hot and tasted sweet.",
+    " Bread and fish were dry but did not taste very bad.", " Really nice waiters, small portions, stale fries.",
     " The clean rooms of the place are quiet and not noisy.", " They make great desserts and keep the tables dirty.",
 ]
 
@@ -150,6 +150,36 @@ _CTES["centroids"] = """
 SELECT cluster, avg(food_z) AS mf, avg(service_z) AS ms, avg(price_z) AS mp, avg(amb_z) AS ma
 FROM labelled_vecs JOIN vecs_z USING (business_id) GROUP BY cluster"""
 
+# k-means: seeds and rounds as recursions over the list of centres; silhouette from all pairs.
+_CTES["zpoints"] = "SELECT business_id, [food_z, service_z, price_z, amb_z] AS x FROM vecs_z"
+_KM_D = "list_sum(list_transform(range(1, 5), lambda j: (x[j] - {c}[j]) ** 2))"
+_CTES["km_seeds"] = f"""
+SELECT 1 AS n, [(SELECT arg_min(x, [{_KM_D.format(c='[0, 0, 0, 0]')}, business_id]) FROM zpoints)] AS cs
+UNION ALL
+SELECT n + 1, list_append(cs, (
+  SELECT arg_min(x, [-list_min(list_transform(cs, lambda c: {_KM_D.format(c='c')})), business_id]) FROM zpoints))
+FROM km_seeds WHERE n < 6"""
+_CTES["km_steps"] = f"""
+SELECT 0 AS n, cs, CAST(1 AS DOUBLE) AS step FROM km_seeds WHERE n = 6
+UNION ALL
+SELECT n + 1, moved, (SELECT max(list_sum(list_transform(range(1, 5), lambda j: (moved[i][j] - cs[i][j]) ** 2))) FROM range(1, 7) r(i))
+FROM (SELECT n, step, cs, (
+    SELECT list(m ORDER BY k) FROM (
+      SELECT list_position(ds, list_min(ds)) AS k, [avg(x[1]), avg(x[2]), avg(x[3]), avg(x[4])] AS m
+      FROM (SELECT x, list_transform(cs, lambda c: {_KM_D.format(c='c')}) AS ds FROM zpoints) GROUP BY 1)) AS moved
+  FROM km_steps WHERE step > 1e-8 AND n < 50)"""
+_CTES["km_labels"] = f"""
+SELECT business_id, x, list_position(ds, list_min(ds)) - 1 AS cluster FROM (
+  SELECT business_id, x, list_transform(cs, lambda c: {_KM_D.format(c='c')}) AS ds
+  FROM zpoints, (SELECT arg_max(cs, n) AS cs FROM km_steps))"""
+_CTES["km_pairs"] = f"""
+SELECT a.business_id, a.cluster, b.cluster AS other, sum({_KM_D.format(c='b.x').replace('(x[', '(a.x[')}) AS total, count(*) AS n
+FROM km_labels a JOIN km_labels b ON a.business_id <> b.business_id GROUP BY ALL"""
+_CTES["km_silhouettes"] = """
+SELECT cluster, CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END AS s FROM (
+  SELECT business_id, cluster, max(total / n) FILTER (other = cluster) AS a, min(total / n) FILTER (other <> cluster) AS b
+  FROM km_pairs GROUP BY ALL)"""
+
 _S = [f"CAST({s} AS DOUBLE)" for s in SLIDERS]
 _CTES["moved"] = f"""
 SELECT business_id, l.cluster, (SELECT arg_min(c.cluster, [
@@ -206,6 +236,41 @@ SELECT {_META}, span, unnest(opinions) AS opinion FROM (
     FROM (SELECT {_META}, unnest(regexp_extract_all(line, {p})) AS m FROM lines) a) b) c"""
 
 
+# Verbs that share a subject, by token position: a linking verb whose last word before it, other than
+# auxiliaries and negations, is a conjunction; the last run of nouns before that; the opinions after it.
+_CTES["tokens"] = f"""
+SELECT {_META}, pos, left(item, 1) AS c, substr(item, 3) AS w FROM (
+  SELECT {_META}, unnest(string_split(trim(line), ' ')) AS item, generate_subscripts(string_split(trim(line), ' '), 1) AS pos
+  FROM (SELECT * FROM lines WHERE regexp_matches(line, '(C:and|O:but) ([OX]:[^ ]+ )*B:'))) t"""
+_CTES["placed_tokens"] = f"""
+SELECT *, c = 'C' OR (c = 'O' AND w = 'but') AS joins, c = 'X' OR (c = 'O' AND w IN ({_list(vocab.AUXILIARIES)})) AS helps,
+  max(CASE WHEN NOT (c = 'X' OR (c = 'O' AND w IN ({_list(vocab.AUXILIARIES)}))) THEN pos END) OVER before AS last_word,
+  max(CASE WHEN c = 'X' THEN pos END) OVER before AS last_not,
+  count(*) FILTER (c NOT IN ('N', 'J', 'P', 'D', 'C')) OVER upto AS island,
+  count(*) FILTER (c NOT IN ('X', 'I', 'J', 'C')) OVER upto AS said,
+  count(*) FILTER (c = 'C') OVER upto AS part,
+  count(*) FILTER (c IN ('J', 'C')) OVER before AS spoken
+FROM tokens WINDOW before AS (PARTITION BY review_id, i ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+  upto AS (PARTITION BY review_id, i ORDER BY pos)"""
+_CTES["added_verbs"] = f"""
+SELECT v.*, q.pos AS join_pos, coalesce(v.last_not > q.pos, false) AS denied,
+  (SELECT max(n.pos) FROM placed_tokens n WHERE n.review_id = v.review_id AND n.i = v.i AND n.c = 'N' AND n.pos < q.pos) AS noun_pos
+FROM placed_tokens v JOIN placed_tokens q ON q.review_id = v.review_id AND q.i = v.i AND q.pos = v.last_word AND q.joins
+WHERE v.c = 'B'"""
+_CTES["shared_seeds"] = """
+SELECT v.review_id, v.i, v.pos, s.part, string_agg(s.w, ' ' ORDER BY s.pos) AS aspect_seed
+FROM added_verbs v JOIN placed_tokens n ON n.review_id = v.review_id AND n.i = v.i AND n.pos = v.noun_pos
+JOIN placed_tokens s ON s.review_id = v.review_id AND s.i = v.i AND s.island = n.island AND s.pos < v.join_pos AND s.c IN ('N', 'J')
+GROUP BY ALL"""
+_CTES["shared_opinions"] = """
+SELECT v.review_id, v.i, v.pos, v.denied OR bool_or(o.c = 'X') AS aspect_negated, string_agg(o.w, ' ' ORDER BY o.pos) AS aspect_opinion
+FROM added_verbs v JOIN placed_tokens o ON o.review_id = v.review_id AND o.i = v.i AND o.pos > v.pos AND o.said = v.said AND o.c <> 'C'
+GROUP BY v.review_id, v.i, v.pos, v.denied, o.spoken HAVING bool_or(o.c = 'J')"""
+_CTES["shared"] = """
+SELECT DISTINCT v.review_id, v.user_id, v.business_id, v.stars, v.sentence, a.aspect_seed, b.aspect_opinion, b.aspect_negated
+FROM added_verbs v JOIN shared_seeds a ON a.review_id = v.review_id AND a.i = v.i AND a.pos = v.pos
+JOIN shared_opinions b ON b.review_id = v.review_id AND b.i = v.i AND b.pos = v.pos"""
+
 _CTES["found"] = (
     _matches(_ATTRIBUTIVE, True)
     + " UNION ALL "
@@ -218,7 +283,7 @@ SELECT DISTINCT review_id, user_id, business_id, stars, sentence,
        array_to_string(regexp_extract_all(span, '[NJ]:([^ ]+)', 1), ' ') AS aspect_seed,
        trim(regexp_replace(opinion, '[A-Z]:', '', 'g')) AS aspect_opinion,
        contains(opinion, 'X:') AS aspect_negated
-FROM found"""
+FROM found UNION SELECT * FROM shared"""
 
 # --- stems ------------------------------------------------------------------------------------
 
@@ -630,7 +695,7 @@ def _sql(body: str) -> str:
         place(name)
     if not placed:
         return body.strip()
-    head = "WITH RECURSIVE " if "pacf_rows" in placed else "WITH "
+    head = "WITH RECURSIVE " if {"pacf_rows", "km_seeds"} & set(placed) else "WITH "
     return head + ",\n".join(
         f"{n} AS {'MATERIALIZED ' if n == 'reviews' else ''}({_CTES[n].strip()})" for n in placed
     ) + "\n" + body.strip()
@@ -790,6 +855,11 @@ FROM seed_terms t JOIN asp_assign a ON a.term = t.term JOIN seed_labels s ON low
     "term_bucket_mean": _bucket_query(True),
     "batch_score": _bucket_query(True, "keyword_terms"),
     "cluster_profile": "SELECT CAST(cluster AS BIGINT) AS cluster, count(*) AS n, " + ", ".join(f"{_r(f'avg({a})')} AS avg_{a}" for a in ASPECTS) + " FROM described GROUP BY cluster",
+    "kmeans_clusters": "SELECT business_id, CAST(cluster AS BIGINT) AS cluster FROM km_labels",
+    "kmeans_quality": f"""
+SELECT CAST(cluster AS BIGINT) AS cluster, count(*) AS n, {_r('avg(s)')} AS silhouette,
+       (SELECT {_r('avg(s)')} FROM km_silhouettes) AS overall
+FROM km_silhouettes GROUP BY cluster""",
     "weighted_assign": "SELECT business_id, CAST(cluster AS BIGINT) AS cluster, CAST(cluster_weighted AS BIGINT) AS cluster_weighted FROM moved",
     "cluster_size_compare": """
 SELECT CAST(coalesce(a.cluster, b.cluster) AS BIGINT) AS label, coalesce(a.n, 0) AS original, coalesce(b.n, 0) AS weighted

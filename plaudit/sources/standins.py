@@ -13,8 +13,8 @@ _NOUN = ["food", "pizza", "service", "staff", "price", "value", "music", "decor"
 
 # One ending per review, so that every kind of pair, of-phrases, lists and plurals occur.
 _ENDING = [
-    "", " They left the rice cold.", " A host who was so kind and quick.", " The cup of tea was hot and sweet.",
-    " Bread and fish were dry.", " Really nice waiters, small portions, stale fries.",
+    "", " They left the rice cold.", " A host who was so kind and quick.", " The cup of tea was hot and tasted sweet.",
+    " Bread and fish were dry but did not taste very bad.", " Really nice waiters, small portions, stale fries.",
     " The clean rooms of the place are quiet and not noisy.", " They make great desserts and keep the tables dirty.",
 ]
 

@@ -202,6 +202,23 @@ def test_lexicon_against_brute_force(spark):
         ("he left the rice cold", {("rice", "cold", False)}),
         ("a host who was so kind", {("host", "so kind", False)}),
         ("the portion of cake was large", {("portion cake", "large", False)}),
+        ("The fries were hot and tasted great", {("fries", "hot", False), ("fries", "great", False)}),
+        ("The food was cold but did not taste bad", {("food", "cold", False), ("food", "bad", True)}),
+        (
+            "Bread and fish were dry and smelled very good",
+            {(a, o, False) for a in ("bread", "fish") for o in ("dry", "very good")},
+        ),
+        ("The waiter brought menus and was friendly", {("waiter", "friendly", False)}),
+        (
+            "The soup was hot and the staff was rude and looked slow",
+            {("soup", "hot", False), ("staff", "rude", False), ("staff", "slow", False)},
+        ),
+        ("The food was good and everyone was friendly", {("food", "good", False)}),
+        ("The tea was good and the evening was nice", {("tea", "good", False)}),
+        (
+            "The pizza is hot and cheap and tastes not very fresh and looks nice",
+            {("pizza", "hot", False), ("pizza", "cheap", False), ("pizza", "not very fresh", True), ("pizza", "nice", False)},
+        ),
         ("nothing here", set()),
         ("", set()),
     ],
@@ -498,6 +515,8 @@ def test_partition_count_does_not_matter(spark, sf):
         ("food " * 20_000 + "is very " + "very " * 20_000 + "good", 1),
         ("good " * 3_000 + "food", 1),
         ("left " * 20_000, 0),
+        ("the food was hot" + " and tasted great but felt cold" * 8_000, 3),
+        ("pizza and " * 1_000 + "bread was good and fresh " + "and hot " * 1_000, 6),
     ],
 )
 def test_pairs_of_endless_runs(spark, text, want):
