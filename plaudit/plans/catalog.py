@@ -12,7 +12,7 @@ from .. import contracts
 from ..functions import vocab
 from ..functions.stem import stem_words
 from ..functions.text import alpha_words, char_grams, lemmas, sentences, word_tokens
-from ..operators import cluster, credibility, enrich, lexicon, mapping, pairs, sentiment, series, terms, vectors
+from ..operators import cluster, credibility, enrich, lexicon, mapping, pairs, sentiment, series, terms, unitroot, vectors
 from ..scale import hash_fraction_sample, hash_ordered_sample, join_dimension
 from ..session import materialize, scratch_path
 from ..sources import ingest, standins, tables
@@ -432,6 +432,11 @@ def df_tstat_lag1(spark, d):
     return series.dickey_fuller(_points(spark, d), lags=1)
 
 
+@query
+def unit_root(spark, d):
+    return unitroot.unit_root(_points(spark, d))
+
+
 def _fits(spark, d):
     return series.fit_ar(_points(spark, d))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..contracts import BUSINESS
 from ..functions import vocab
 from ..functions.text import alpha_words, without_stop_words
-from ..operators import cluster, credibility, lexicon, mapping, pairs, sentiment, series, vectors
+from ..operators import cluster, credibility, lexicon, mapping, pairs, sentiment, series, unitroot, vectors
 from ..operators.enrich import (
     absa_flat,
     absa_ready,
@@ -202,7 +202,7 @@ def credibility_eval(
         "ar_describe": vectors.describe(summary, ["phi", "aic", "sigma2_resid"]),
         "acf": series.acf(points),
         "pacf": series.pacf(points),
-        "unit_root": series.dickey_fuller(points),
+        "unit_root": unitroot.unit_root(points),
     }
 
 

@@ -542,6 +542,47 @@ SELECT series, date, y, row_number() OVER (PARTITION BY series ORDER BY date) AS
        count(*) OVER (PARTITION BY series) AS n
 FROM (SELECT user_id AS series, make_date(year, month, 1) AS date, avg(w_user) AS y FROM monthly GROUP BY ALL)"""
 
+# Unit root: normal equations swept one pivot at a time, so the corner holds the rest of every order;
+# the normal distribution by the trapezoid rule.
+_CTES["ur_vectors"] = """
+SELECT series, n, y, list_transform(range(1, n), lambda i: y[i + 1] - y[i]) AS d,
+  least(n // 2 - 2, CAST(ceil(12 * (n / 100.0) ** 0.25) AS BIGINT)) AS top
+FROM (SELECT series, any_value(n) AS n, list(y ORDER BY t) AS y FROM pts GROUP BY series HAVING any_value(n) >= 6)"""
+_UR_CENTRED = "list_transform({v}, lambda v: list_transform(v, lambda e: e - list_avg(v)))"
+_UR_LAGS = "list_transform(range(1, {p} + 1), lambda j: d[{p} + 1 - j:n - 1 - j])"
+
+
+def _swept(name: str, source: str, p: str, first: str) -> None:
+    """``name``: (series, k, g) for k = 1, 2, ... with the first k - 1 columns swept out of the products."""
+    level, lags, last = f"[y[{p} + 1:n - 1]]", _UR_LAGS.format(p=p), f"[d[{p} + 1:]]"
+    columns = f"list_concat(list_concat({level}, {lags}), {last})" if first == "level" else f"list_concat(list_concat({lags}, {level}), {last})"
+    _CTES[f"{name}_products"] = f"""
+SELECT series, n, {p} AS p, list_transform(c, lambda a: list_transform(c, lambda b: list_dot_product(a, b))) AS g
+FROM (SELECT series, n, {p}, {_UR_CENTRED.format(v=columns)} AS c FROM {source})"""
+    _CTES[f"{name}_sweeps"] = f"""
+SELECT series, n, p, 1 AS k, g FROM {name}_products
+UNION ALL
+SELECT series, n, p, k + 1, list_transform(g, lambda r, i: CASE WHEN i = k THEN r
+  ELSE list_transform(r, lambda v, j: v - r[k] * g[k][j] / g[k][k]) END)
+FROM {name}_sweeps WHERE k <= p + 1"""
+
+
+_swept("ur_nested", "ur_vectors", "top", "level")
+_CTES["ur_orders"] = """
+SELECT series, arg_min(k - 2, [m * (ln(2 * pi() * g[p + 2][p + 2] / m) + 1) + 2 * k, k]) AS lag
+FROM (SELECT series, k, p, g, n - 1 - p AS m FROM ur_nested_sweeps WHERE k >= 2) GROUP BY series"""
+_CTES["ur_chosen"] = "SELECT v.*, lag FROM ur_vectors v JOIN ur_orders USING (series)"
+_swept("ur_final", "ur_chosen", "lag", "lags")
+_CTES["ur_tests"] = """
+SELECT series, n, p AS lag, g[p + 1][p + 2] / g[p + 1][p + 1]
+  / sqrt((g[p + 2][p + 2] - g[p + 1][p + 2] ** 2 / g[p + 1][p + 1]) / (n - 1 - p - p - 2) / g[p + 1][p + 1]) AS t_stat
+FROM ur_final_sweeps WHERE k = p + 1"""
+_UR_Z = "CASE WHEN t_stat <= -1.61 THEN 2.1659 + 1.4412 * t_stat + 0.038269 * t_stat ** 2 ELSE 1.7339 + 0.93202 * t_stat - 0.12745 * t_stat ** 2 - 0.010368 * t_stat ** 3 END"
+_CTES["ur_p"] = f"""
+SELECT *, CASE WHEN t_stat < -18.83 THEN 0 WHEN t_stat > 2.74 THEN 1 ELSE
+  0.5 + z / 4000 * (list_sum(list_transform(range(1, 4000), lambda i: exp(-((z * i / 4000) ** 2) / 2))) + 0.5 + exp(-(z ** 2) / 2) / 2) / sqrt(2 * pi()) END AS p_value
+FROM (SELECT *, CAST({_UR_Z} AS DOUBLE) AS z FROM ur_tests)"""
+
 _CTES["acf_rows"] = """
 SELECT series, lag, sum(c1 * c2) / any_value(g0) AS r FROM (
   SELECT a.series, k.lag, a.c AS c1, b.c AS c2, a.g0
@@ -695,7 +736,7 @@ def _sql(body: str) -> str:
         place(name)
     if not placed:
         return body.strip()
-    head = "WITH RECURSIVE " if {"pacf_rows", "km_seeds"} & set(placed) else "WITH "
+    head = "WITH RECURSIVE " if {"pacf_rows", "km_seeds", "ur_nested_sweeps"} & set(placed) else "WITH "
     return head + ",\n".join(
         f"{n} AS {'MATERIALIZED ' if n == 'reviews' else ''}({_CTES[n].strip()})" for n in placed
     ) + "\n" + body.strip()
@@ -823,6 +864,7 @@ SELECT series, n, {_r('b')} AS rho, {_r('b / sqrt((sdd - b * sdx - g * sdz) * m
     SELECT series, any_value(n) AS n, count(*) AS m, var_pop(y - y1) AS sdd, covar_pop(y - y1, y1) AS sdx,
            covar_pop(y - y1, y1 - y2) AS sdz, var_pop(y1) AS sxx, covar_pop(y1, y1 - y2) AS sxz, var_pop(y1 - y2) AS szz
     FROM lagged WHERE t > 2 GROUP BY series))""",
+    "unit_root": f"SELECT series, n, lag, {_r('t_stat')} AS t_stat, {_r('p_value')} AS p_value FROM ur_p",
     "ar_fit": f"SELECT series, first, last, true AS ok, best_order, {_r('aic')} AS aic, n_obs, {_r('phi1')} AS phi1, {_r('phi2')} AS phi2, {_r('sigma2_resid')} AS sigma2_resid FROM fits",
     "ar_fitted": f"SELECT series, date, {_r('y')} AS y, {_r('fitted')} AS fitted FROM resids",
     "ljung_box": f"SELECT series, {_r('q')} AS lb_stat_12, {_r('p')} AS lb_pvalue_12 FROM lb_p",
