@@ -12,10 +12,13 @@ from .. import contracts
 from ..functions import vocab
 from ..functions.stem import stem_words
 from ..functions.text import alpha_words, char_grams, lemmas, sentences, word_tokens
-from ..operators import cluster, credibility, enrich, lexicon, mapping, pairs, sentiment, series, terms, unitroot, vectors
+from ..operators import (
+    cluster, credibility, enrich, heavyhitters, lexicon, mapping, pairs, sentiment, series, terms, unitroot, vectors,
+    weightstate,
+)
 from ..scale import hash_fraction_sample, hash_ordered_sample, join_dimension
 from ..session import materialize, scratch_path
-from ..sources import ingest, standins, tables
+from ..sources import colocated, ingest, standins, tables
 from . import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,6 +147,40 @@ def distinct_values(spark, d):
     return enrich.distinct_values(standins.business(spark, d), "city")
 
 
+@query
+def colocated_weights(spark, d):
+    """Weights made, joined back and summed per user on one layout, with no further shuffle."""
+    reviews = colocated.store(standins.ratings(spark, d).select("review_id", "user_id", "stars"), "user_id", 8, "ratings")
+    weighed = reviews.join(reviews.per_key(credibility.reviewer_weights, "weights"))
+    return weighed.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("w_user").alias("w_user"), F.sum(F.col("w_user") * F.col("stars")).alias("weighted_stars")
+    )
+
+
+@query
+def colocated_business(spark, d):
+    """The spread of stars around each business's mean, on a layout by business."""
+    reviews = colocated.store(standins.ratings(spark, d).select("review_id", "business_id", "stars"), "business_id", 8, "by_business")
+    means = reviews.per_key(lambda rows: rows.groupBy("business_id").agg(F.avg("stars").alias("mean")), "means")
+    return reviews.join(means).groupBy("business_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("mean").alias("mean"), F.sum(F.abs(F.col("stars") - F.col("mean"))).alias("spread")
+    )
+
+
+@query
+def staged_top_cities(spark, d):
+    """Two stages by one ledger, the third by another, as after a run that was killed."""
+    source, root = scratch_path(spark, "raw"), scratch_path(spark, "staged")
+    _raw_reviews(spark, d).write.json(f"{source}/review")
+    places = standins.business(spark, d).withColumn("business_id", F.col("business_id").cast("string"))
+    places.write.json(f"{source}/business")
+    paths = (f"{source}/review", f"{source}/business", root)
+    jobs.staged_run(spark, *paths).frame("enriched")
+    return jobs.staged_run(spark, *paths, years=[1997, 1998]).frame("enriched").where("review_year in (1997, 1998)").groupBy(
+        "biz_city"
+    ).agg(F.count(F.lit(1)).alias("n"), F.sum("stars").alias("sum_stars"))
+
+
 # --- projections and filters ------------------------------------------------------------------
 
 
@@ -307,6 +344,20 @@ def monthly_weights(spark, d):
     return _monthly(spark, d)
 
 
+@query
+def incremental_weights(spark, d):
+    """Monthly weights from yearly batches, a tenth of whose rows arrive one batch late."""
+    path = scratch_path(spark, "weights")
+    rows = standins.ratings(spark, d).select(
+        "review_id", "user_id", "stars", F.col("review_year").alias("year"), F.col("review_month").alias("month")
+    )
+    late = F.when(F.crc32(F.col("review_id").cast("binary")) % 10 == 0, 1).otherwise(0)
+    arrived = materialize(rows.withColumn("batch", F.col("year") + late).repartition("batch"), "arrived")
+    for batch in sorted(r.batch for r in arrived.select("batch").distinct().collect()):
+        weightstate.apply_batch(spark, path, arrived.where(F.col("batch") == batch), batch)
+    return weightstate.weights(spark, path)
+
+
 @query
 def cohort_monthly(spark, d):
     rows = standins.ratings(spark, d)
@@ -380,6 +431,13 @@ def top_words(spark, d):
     return jobs.top_words(standins.documents(spark, d))
 
 
+@query
+def heavy_words(spark, d):
+    """The most frequent words by bounded counters and an exact recount."""
+    words = jobs.counted_words(standins.documents(spark, d))
+    return heavyhitters.top_keys(words, "word", 200, counters=500)
+
+
 @query
 def term_counts(spark, d):
     return mapping.term_counts(_pairs(spark, d))

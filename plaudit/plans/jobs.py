@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..contracts import BUSINESS
+from ..contracts import BUSINESS, REVIEW
 from ..functions import vocab
 from ..functions.text import alpha_words, without_stop_words
 from ..operators import cluster, credibility, lexicon, mapping, pairs, sentiment, series, unitroot, vectors
@@ -29,6 +29,7 @@ from ..scale import hash_ordered_sample, join_dimension
 from ..session import materialize
 from ..sources import ingest
 from ..sources.tables import read_json, read_years, write_csv, write_parquet, write_partitioned
+from .ledger import Ledger
 
 
 # --- ingest, enrich, explore ------------------------------------------------------------------
@@ -55,9 +56,16 @@ def top_words(
     stop_words: Sequence[str] = vocab.STOP_WORDS,
 ) -> DataFrame:
     """The ``k`` most frequent words, counted in each task before the shuffle."""
+    return top_counts(counted_words(texts, text, min_length, stop_words), "word", k, "n")
+
+
+def counted_words(
+    texts: DataFrame, text: str = "text", min_length: int = 3, stop_words: Sequence[str] = vocab.STOP_WORDS
+) -> DataFrame:
+    """The words that count, one row per occurrence."""
     words = without_stop_words(alpha_words(F.col(text).cast("string")), stop_words)
     tokens = texts.where(F.col(text).isNotNull()).select(F.explode(words).alias("word"))
-    return top_counts(tokens.where(F.length("word") >= max(1, min_length)), "word", k, "n")
+    return tokens.where(F.length("word") >= max(1, min_length))
 
 
 # --- sentence-level aspect sentiment ----------------------------------------------------------
@@ -230,6 +238,32 @@ def run_all(
     return out
 
 
+def staged_run(
+    spark: SparkSession, review_json: str, business_json: str, root: str, years: Sequence[int] | None = None,
+    words: int = 200,
+) -> Ledger:
+    """The stages of ``run_all`` in a ledger: review, enriched, top_cities, top_words.
+
+    ``frame(name)`` builds what is missing up to that stage; a second run, or one after a kill, goes
+    on where the first one ended.
+    """
+    ledger = Ledger(spark, root)
+    timed = lambda: ingest.derive_time(read_json(spark, review_json, REVIEW))
+    ledger.declare("review", timed, reads=[review_json])
+    ledger.declare(
+        "enriched", lambda: enrich_reviews(ledger.frame("review"), read_json(spark, business_json, BUSINESS)),
+        after=["review"], reads=[business_json],
+    )
+
+    def chosen() -> DataFrame:
+        df = ledger.frame("enriched")
+        return df if years is None else df.where(F.col("review_year").isin([int(y) for y in years]))
+
+    ledger.declare("top_cities", lambda: top_counts(recent_top_rated(chosen()), "biz_city", 10), after=["enriched"], years=years)
+    ledger.declare("top_words", lambda: top_words(chosen(), k=words), after=["enriched"], years=years, words=words)
+    return ledger
+
+
 def write_results(results: Mapping[str, DataFrame], root: str) -> None:
     for name, df in results.items():
         write_parquet(df, f"{root}/{name}")

@@ -836,6 +836,19 @@ GROUP BY business_id, aspect HAVING count(*) >= 3""",
     "top_words": f"""
 SELECT word, count(*) AS n FROM doc_words WHERE word NOT IN ({_list(vocab.STOP_WORDS)}) AND length(word) >= 3
 GROUP BY word ORDER BY n DESC, word LIMIT 200""",
+    "heavy_words": f"""
+SELECT word, count(*) AS n FROM doc_words WHERE word NOT IN ({_list(vocab.STOP_WORDS)}) AND length(word) >= 3
+GROUP BY word ORDER BY n DESC, word LIMIT 200""",
+    "colocated_weights": f"""
+SELECT user_id, count(*) AS n, {_r('any_value(w)')} AS w_user, {_r('sum(w * stars)')} AS weighted_stars
+FROM ratings JOIN user_weights USING (user_id) GROUP BY user_id""",
+    "colocated_business": f"""
+SELECT business_id, count(*) AS n, {_r('any_value(mean)')} AS mean, {_r('sum(abs(stars - mean))')} AS spread
+FROM ratings JOIN (SELECT business_id, avg(stars) AS mean FROM ratings GROUP BY business_id) USING (business_id) GROUP BY business_id""",
+    "staged_top_cities": """
+SELECT city AS biz_city, count(*) AS n, sum(r.stars) AS sum_stars
+FROM ratings r JOIN business USING (business_id) WHERE review_year IN (1997, 1998) GROUP BY city""",
+    "incremental_weights": f"SELECT user_id, year, month, n_reviews, {_r('var_stars')} AS var_stars, {_r('w_user')} AS w_user FROM monthly",
     "term_counts": "SELECT term, n FROM seed_terms",
     "top_reviewers": "SELECT o_custkey AS user_id, count(*) AS n_reviews_total FROM orders GROUP BY o_custkey ORDER BY 2 DESC, 1 LIMIT 100",
     "describe_metrics": " UNION ALL ".join(

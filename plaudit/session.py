@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+#: Paths of the open ``scratch`` blocks, innermost last.
+_OWNED: list[list[str]] = []
 
 
 def build_session(app: str = "plaudit", master: str | None = None, **overrides: str) -> SparkSession:
@@ -52,8 +56,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; it belongs to the innermost open ``scratch`` block."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _OWNED:
+        _OWNED[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of any file system Spark can write to; a path that is not there is no error."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Owns every table that ``materialize`` stores inside the block, and removes them at its end.
+
+    Results that outlive the block must be written or collected inside it.
+    """
+    _OWNED.append([])
+    try:
+        yield
+    finally:
+        for path in _OWNED.pop():
+            remove(spark, path)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
