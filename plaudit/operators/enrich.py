@@ -143,14 +143,15 @@ def distinct_values(df: DataFrame, column: str, k: int | None = None) -> DataFra
 
 
 def profile(df: DataFrame, exact: Sequence[str] = ()) -> DataFrame:
-    """Per column: rows, non-null values, distinct values; one pass, one row per task.
+    """Per column: rows, non-null values, distinct values, in one pass.
 
     Distinct values are estimated, but counted exactly for the columns named in ``exact`` (keys and
     other short columns: each of them shuffles its values).
     """
     each = []
     for c in df.columns:
-        each += [F.count(c).alias(f"n_{c}"), F.approx_count_distinct(c).alias(f"d_{c}")]
+        distinct = F.count_distinct(c) if c in exact else F.approx_count_distinct(c)
+        each += [F.count(c).alias(f"n_{c}"), distinct.alias(f"d_{c}")]
     counted = df.agg(F.count(F.lit(1)).alias("rows"), *each)
     out = counted.select(
         F.inline(
@@ -165,7 +166,4 @@ def profile(df: DataFrame, exact: Sequence[str] = ()) -> DataFrame:
             )
         )
     )
-    for c in exact:
-        values = df.select(c).dropna().distinct().agg(F.count(F.lit(1))).scalar()
-        out = out.withColumn("distinct_values", F.when(F.col("column_name") == c, values).otherwise(F.col("distinct_values")))
     return out

@@ -13,12 +13,12 @@ from ..functions import vocab
 from ..functions.stem import stem_words
 from ..functions.text import alpha_words, char_grams, lemmas, sentences, word_tokens
 from ..operators import (
-    cluster, credibility, enrich, heavyhitters, lexicon, mapping, pairs, sentiment, series, terms, unitroot, vectors,
-    weightstate,
+    cluster, credibility, enrich, heavyhitters, lexicon, mapping, pairs, sentiment, series, sketches, terms, unitroot,
+    vectors, weightstate,
 )
 from ..scale import hash_fraction_sample, hash_ordered_sample, join_dimension
 from ..session import materialize, scratch_path
-from ..sources import colocated, ingest, standins, tables
+from ..sources import colocated, ingest, standins, tables, variant
 from . import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,27 @@ def json_scan(spark, d):
     return back.select("review_id", "user_id", "business_id", "stars", "date")
 
 
+@query
+def drifting_json(spark, d):
+    """Whole review records, text included, in five shapes: one per number of stars."""
+    rows = standins.reviews(spark, d).select("review_id", "text", "stars")
+    stars, text, key = F.col("stars"), F.col("text"), F.col("review_id")
+    line = (
+        F.when(stars == 1, F.to_json(F.struct(key, text, stars)))
+        .when(stars == 2, F.to_json(F.struct(key.alias("id"), text.alias("sentence"), stars.cast("string").alias("stars"))))
+        .when(stars == 3, F.to_json(F.struct(key, F.struct(text.alias("body")).alias("text"), stars, F.lit(7).alias("votes"))))
+        .when(stars == 4, F.to_json(F.struct(key, text, F.array(stars).alias("stars"))))
+        .otherwise(F.concat(F.lit('["'), key, F.lit('", ')))
+    )
+    path = scratch_path(spark, "drift")
+    rows.select(line.alias("value")).write.text(path)
+    fields = (
+        variant.Field("review_id", "string", ("review_id", "id")), variant.Field("text", "string", ("text", "sentence", "text.body")),
+        variant.Field("stars", "double", ("stars",)),
+    )
+    return variant.read_drifting(spark, path, fields).withColumnRenamed(contracts.CORRUPT, "corrupt")
+
+
 @query
 def scan_years(spark, d):
     path = scratch_path(spark, "years")
@@ -142,6 +163,23 @@ def profile(spark, d):
     )
 
 
+@query
+def sketch_profile(spark, d):
+    """Sketches stored per year, the last year alone at the end, merged and held against exact figures."""
+    path, rows = scratch_path(spark, "sketches"), standins.ratings(spark, d)
+    columns = ["review_id", "user_id", "business_id", "stars"]
+    sketches.refresh(rows.where(F.col("review_year") < 1998), path, "review_year", columns)
+    sketches.refresh(rows.where(F.col("review_year") >= 1998), path, "review_year", columns)
+    exact = enrich.profile(rows.select(columns), exact=columns).select("column_name", F.col("distinct_values").alias("exact"))
+    median = rows.agg(F.median("stars").alias("m")).scalar()
+    found = sketches.merged(spark, path).join(exact, "column_name").withColumn("median", median)
+    return found.select(
+        "column_name", "row_count", "non_null",
+        (F.abs(F.col("distinct_values") - F.col("exact")) <= 0.05 * F.col("exact")).alias("distinct_near"),
+        F.when(F.col("column_name") == "stars", F.abs(F.col("quantiles")[1] - F.col("median")) <= 1.0).alias("median_near"),
+    )
+
+
 @query
 def distinct_values(spark, d):
     return enrich.distinct_values(standins.business(spark, d), "city")

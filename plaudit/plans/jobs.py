@@ -44,8 +44,9 @@ def enrich(spark: SparkSession, reviews_root: str, business_json: str, target: s
 def explore(spark: SparkSession, root: str, years: Sequence[int] | None = None) -> dict[str, DataFrame]:
     """Profile, preview and top cities of recent five-star reviews."""
     df = read_years(spark, root, years)
+    short = ("review_id", "user_id", "business_id", "stars", "review_year", "biz_city", "biz_state")
     return {
-        "profile": profile(df),
+        "profile": profile(df, [c for c in short if c in df.columns]),
         "preview": preview(df),
         "top_cities": top_counts(recent_top_rated(df), "biz_city", 10),
     }

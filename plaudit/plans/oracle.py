@@ -758,6 +758,11 @@ _RAW = "strftime(review_ts, '%Y-%m-%d %H:%M:%S')"
 
 _QUERIES: dict[str, str] = {
     "json_scan": f"SELECT review_id, CAST(user_id AS VARCHAR) AS user_id, CAST(business_id AS VARCHAR) AS business_id, stars, {_RAW} AS date FROM ratings",
+    "drifting_json": """
+SELECT CASE WHEN stars < 5 THEN review_id END AS review_id, CASE WHEN stars < 5 THEN text END AS text,
+       CASE WHEN stars < 4 THEN stars END AS stars, CASE stars WHEN 3 THEN '{"votes":7}' WHEN 4 THEN '{"stars":[4]}' END AS rescued,
+       CASE WHEN stars = 5 THEN '["' || review_id || '", ' END AS corrupt
+FROM reviews""",
     "scan_years": "SELECT review_id, user_id, stars, review_year FROM ratings WHERE review_year IN (1996, 1999)",
     "load_entity": f"SELECT review_id, CAST(user_id AS VARCHAR) AS user_id, stars, {_RAW} AS date, review_year AS year FROM ratings",
     "partitioned_roundtrip": "SELECT review_year, review_month, count(*) AS n, sum(stars) AS sum_stars FROM ratings GROUP BY ALL",
@@ -772,6 +777,11 @@ FROM lexicon l JOIN term_stems t ON t.x = l.term_to_match LEFT JOIN (
         f"SELECT '{c}' AS column_name, count(*) AS row_count, count({c}) AS non_null, count(DISTINCT {c}) AS distinct_values FROM ratings"
         for c in ("user_id", "business_id", "stars", "review_year")
     ),
+    "sketch_profile": " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS row_count, count({c}) AS non_null, true AS distinct_near, "
+        f"{'true' if c == 'stars' else 'CAST(NULL AS BOOLEAN)'} AS median_near FROM ratings"
+        for c in ("review_id", "user_id", "business_id", "stars")
+    ),
     "distinct_values": "SELECT DISTINCT city FROM business ORDER BY city",
     "select_business": "SELECT business_id, name AS biz_name, city AS biz_city, state AS biz_state, stars AS biz_stars, review_count AS biz_review_count, categories AS biz_categories FROM business",
     "derive_time": "SELECT review_id, strftime(review_ts, '%Y-%m-%d') AS day, review_year, review_month FROM ratings",

@@ -9,10 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from plaudit import session
-from plaudit.operators import credibility, heavyhitters, weightstate
+from plaudit.operators import credibility, heavyhitters, sketches, weightstate
 from plaudit.plans.ledger import Ledger
 from plaudit.session import materialize, scratch, shared_dir
-from plaudit.sources import colocated
+from plaudit.sources import colocated, variant
 
 # -- co-located tables ---------------------------------------------------------------------------
 
@@ -205,3 +205,56 @@ def test_fewer_keys_than_asked(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,)], "w string")
     assert [tuple(r) for r in heavyhitters.top_keys(df, "w", 5).collect()] == [("a", 1), ("b", 1)]
     assert heavyhitters.top_keys(df.limit(0), "w", 5).collect() == []
+
+
+# -- sketches ------------------------------------------------------------------------------------
+
+
+def test_sketches_of_parts_merge(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(y, rng.randint(1, 4000), rng.gauss(0, 1) if rng.random() < 0.9 else None, "t") for y in (1, 2, 3) for _ in range(4000)]
+    df = spark.createDataFrame(rows, "year int, k int, v double, s string")
+    path = str(tmp_path / "s")
+    sketches.refresh(df.where("year < 3"), path, "year", ["k", "v", "s"])
+    before = {f for _, _, files in os.walk(f"{path}/year=1") for f in files}
+    sketches.refresh(df.where("year = 3"), path, "year", ["k", "v", "s"])
+    assert before == {f for _, _, files in os.walk(f"{path}/year=1") for f in files}  # other years untouched
+    got = {r.column_name: r for r in sketches.merged(spark, path, probs=(0.1, 0.5)).collect()}
+    values = sorted(r[2] for r in rows if r[2] is not None)
+    assert (got["v"].row_count, got["v"].non_null) == (len(rows), len(values)) and got["s"].quantiles is None
+    assert got["k"].distinct_values == pytest.approx(len({r[1] for r in rows}), rel=0.05) and got["s"].distinct_values == 1
+    for p, q in zip((0.1, 0.5), got["v"].quantiles):
+        rank = sum(x <= q for x in values) / len(values)
+        assert abs(rank - p) < 0.03
+    one = {r.column_name: r.row_count for r in sketches.merged(spark, path, F.col("year") == 2).collect()}
+    assert one == {"k": 4000, "v": 4000, "s": 4000}
+
+
+def test_sketches_of_nothing(spark, tmp_path):
+    df = spark.createDataFrame([(1, None)], "year int, v double")
+    sketches.refresh(df, str(tmp_path / "s"), "year", ["v"])
+    row = sketches.merged(spark, str(tmp_path / "s")).first()
+    assert (row.row_count, row.non_null, row.distinct_values, row.quantiles) == (1, 0, 0, None)
+
+
+# -- drifting JSON -------------------------------------------------------------------------------
+
+
+def test_extractor_results_of_all_shapes(spark, tmp_path):
+    path = tmp_path / "x.json"
+    path.write_text("\n".join([
+        '{"sentence": "a", "aspect": ["soup", "tea"], "sentiment": ["Positive", "Neutral"], "confidence": [0.9, 1]}',
+        '{"text": "b", "aspect": "soup", "polarity": "Negative", "probs": 0.5, "IOB": ["O"]}',
+        '{"text": {"body": "c", "lang": "en"}, "aspect": null, "confidence": "high"}',
+        '{"sentence": ["d"], "aspects": []}',
+        "", "not json", '["a"]', "{}",
+    ]))
+    got = [tuple(r) for r in variant.read_drifting(spark, str(path), variant.EXTRACTED).collect()]
+    none = (None, None, None, None)
+    assert got == [
+        ("a", ["soup", "tea"], ["Positive", "Neutral"], [0.9, 1.0], None, None),
+        ("b", ["soup"], ["Negative"], [0.5], '{"IOB":["O"]}', None),
+        ("c", None, None, None, '{"aspect":null,"confidence":"high"}', None),
+        (None, [], None, None, '{"sentence":["d"]}', None),
+        (*none, None, "not json"), (*none, None, '["a"]'), (*none, None, None),
+    ]
