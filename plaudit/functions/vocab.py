@@ -145,8 +145,8 @@ PROTOTYPES: dict[str, list[str]] = {
         "front desk",
     ],
     "ambience": [
-        "decor", "music", "interior", "furniture", "lamp", "window", "garden", "terrace", "candle", "acoustics",
-        "dining room",
+        "decor", "music", "wallpaper", "carpet", "ceiling", "fireplace", "chandelier", "fountain", "piano", "skylight",
+        "window seat",
     ],
     "price": [
         "price", "value", "money", "dollar", "receipt", "tariff", "invoice", "wallet", "payment", "set menu",
@@ -154,16 +154,16 @@ PROTOTYPES: dict[str, list[str]] = {
 }
 POLARITY: dict[str, dict[str, list[str]]] = {
     "positive": {
-        "general": ["good", "great", "superb", "fantastic", "lovely", "enjoyable", "well made"],
-        "service": ["friendly", "courteous", "cheerful", "patient", "welcoming"],
+        "general": ["good", "great", "sturdy", "handy", "sharp", "polished", "as ordered"],
+        "service": ["friendly", "chatty", "obliging", "punctual", "on the dot"],
         "food": ["delicious", "savoury", "succulent", "aromatic", "ripe"],
-        "ambience": ["cozy", "airy", "bright", "charming", "peaceful"],
+        "ambience": ["cozy", "sunlit", "leafy", "snug", "hushed"],
         "price": ["economical", "sensible", "modest", "worth every penny"],
     },
     "negative": {
-        "general": ["bad", "dreadful", "unpleasant", "disappointing", "inferior", "never again"],
+        "general": ["bad", "flimsy", "crooked", "brittle", "dented", "never again"],
         "service": ["slow", "grumpy", "dismissive", "clumsy", "forgetful"],
-        "food": ["bland", "greasy", "rancid", "lukewarm", "overcooked"],
+        "food": ["bland", "watery", "limp", "charred", "curdled"],
         "ambience": ["gloomy", "cramped", "stuffy", "deafening", "shabby"],
         "price": ["overpriced", "exorbitant", "inflated", "daylight robbery"],
     },
