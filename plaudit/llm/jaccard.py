@@ -8,11 +8,17 @@ segments that must agree exactly count one, segments that may miss one shingle c
 as soon as the counts add up to d + 1 any two partners agree in some segment (pigeonhole).
 ``allocate`` picks for each band the mix that costs least, from the number of sets in the band.
 
-Sets that agree in a segment are candidates, and candidates form clusters.  To avoid all pairs of
-a cluster, each set is first checked against the best-connected set it met; that joins most of a
-group of copies.  Where a cluster is then still in several components, its sets are dealt into
-blocks and each two blocks are counted against each other in one task, by products of incidence
-matrices; only links leave the task.  Every check counts the intersection of whole sets.
+A segment that is empty in a set says nothing, so it is not written: there are a few segments more
+than the pigeonhole needs, so that those with content suffice.  A set whose do not (``need``) also
+writes all segments, empty ones too, in a space of their own, where such sets meet each other.
+
+Groups of one signature with the same members are one group.  Inside a group two sets are compared
+by bitmaps of one bit a shingle (parity of the shingles at a place): the bits in which they differ
+never exceed the shingles in which they differ, so a pair beyond the allowed difference is no link.
+Of the others, edges that connect them are kept, not all pairs; both ends are then checked as whole
+sets.  Where a cluster of such edges is still in several components, its sets are dealt into blocks
+and each two blocks are counted against each other in one task, by products of incidence matrices;
+only links leave the task.  Every check counts the intersection of whole sets.
 
 Contract: null or empty texts have an empty set and link with nothing.  Equal sets are one class,
 whatever their number, and count as linked.  Rows that share a doc_id count as one document.  A
@@ -23,11 +29,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import exp
+from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plaudit.llm.batches import column_of, groups_by_size, map_tasks, rows, texts_of
@@ -36,7 +42,12 @@ from plaudit.llm.shingles import mix, words_of
 from plaudit.session import materialize
 
 BLOCK = 128  # sets of a cluster that are counted against as many others at once
+BLOCK_SHINGLES = 1 << 19  # and their shingles
+GROUP = 4096  # sets of a signature whose bitmaps are compared with as many others at once
+GROUP_ROWS = 20_000  # sets of several signatures that are compared in one go
 COLUMNS = 8192
+#: Share of unrelated sets that hold a given shingle, as passages that many texts share make it.
+COMMON = 1e-4
 
 
 @dataclass(frozen=True)
@@ -62,20 +73,35 @@ def allocate(size: int, differences: int, sets: int, candidate: float = 4.0) ->
     """(segments that must agree, segments that may miss one shingle) of a band.
 
     Their counts, one and two, add up to ``differences + 1``.  The cost of a mix is the signatures
-    that a set of ``size`` writes, plus ``candidate`` times the unrelated sets that it meets
-    because a segment of both holds nothing.
+    that a set of ``size`` writes, plus ``candidate`` times the unrelated sets that it meets because
+    a segment holds one shingle, and that a common one.
     """
 
     def cost(near: int) -> float:
         exact = differences + 1 - 2 * near
         width = size / (exact + near)
-        both_empty = sets * exp(-2 * width)
-        return exact + near * (1 + width) + candidate * both_empty * (exact + near)
+        alone = sets * COMMON * width * exp(-width)
+        return exact + near * (1 + width) + candidate * alone * (exact + near)
 
     near = min(range((differences + 1) // 2 + 1), key=cost)
     return differences + 1 - 2 * near, near
 
 
+def roomy(size: int, need: int, exact: int, near: int) -> int:
+    """Segments that must agree, so many that the segments with content of nearly every set of
+    ``size`` shingles count ``need``: by four standard deviations."""
+    most = 4 * (exact + near) + 8
+    while exact < most:
+        width = size / (exact + near)
+        none, one = exp(-width), width * exp(-width)
+        mean = exact * (1 - none) + near * (2 * (1 - none) - one)
+        spread = exact * none * (1 - none) + near * (4 * none + one)
+        if mean - 4 * sqrt(spread) >= need:
+            break
+        exact += 1
+    return exact
+
+
 def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     """Sorted distinct hashes of the k-word shingles of each text, ASCII letters lower-cased."""
     raw = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
@@ -101,27 +127,46 @@ def set_key(shingles: np.ndarray, seed: int) -> int:
         return int(total.view(np.int64)[0]) & ~1
 
 
-def signatures(shingles: np.ndarray, band: int, exact: int, near: int) -> np.ndarray:
+def signatures(shingles: np.ndarray, band: int, exact: int, near: int, need: int | None = None) -> np.ndarray:
     """64-bit keys of a set under one band: one per exact segment, and of every segment that may
-    miss a shingle its whole content and the content without each of its shingles."""
+    miss a shingle its whole content and the content without each of its shingles.
+
+    With ``need``, the most differences to a partner and one more, only segments with content
+    count, unless they count less than that (see the module).
+    """
     m = exact + near
     segment = (mix(shingles, 101 + band) % np.uint64(m)).astype(np.int64)
     value = mix(shingles, 7)
+    held = np.bincount(segment, minlength=m)
     with np.errstate(over="ignore"):
         total = np.zeros(m, np.uint64)
         np.add.at(total, segment, value)
-        label = np.arange(m).astype(np.uint64) + np.uint64(band << 32)
-        whole = mix(total ^ mix(label, 3), 5)
-        if not near:
-            return whole
-        open_ = segment >= exact
-        less = total[segment[open_]] - value[open_]
-        return np.concatenate([whole, mix(less ^ mix(label[segment[open_]], 3), 5)])
+
+        def keys(space: int, whole: np.ndarray, open_: np.ndarray) -> np.ndarray:
+            label = np.arange(m).astype(np.uint64) + np.uint64(band << 32 | space << 56)
+            own = mix(total[whole] ^ mix(label[whole], 3), 5)
+            less = total[segment[open_]] - value[open_]
+            return np.concatenate([own, mix(less ^ mix(label[segment[open_]], 3), 5)])
+
+        every, missing = np.arange(m), segment >= exact
+        if need is None:
+            return keys(0, every, missing)
+        rich = keys(0, np.flatnonzero(held), missing & (held[segment] > 1))
+        if (held[:exact] > 0).sum() + np.minimum(held[exact:], 2).sum() >= need:
+            return rich
+        return np.concatenate([rich, keys(1, every, missing)])
+
+
+def bitmap(shingles: np.ndarray) -> bytes:
+    """One bit for every place of a power of two at least the size: parity of the shingles there."""
+    size = max(64, 1 << max(0, len(shingles) - 1).bit_length())
+    places = (mix(shingles, 17) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=size) & 1, bitorder="little").tobytes()
 
 
 def describe(docs: DataFrame, by: Similarity) -> DataFrame:
-    """doc_id, n_shingles and two 64-bit keys of the set, one row per document."""
-    schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "n_shingles", "k1", "k2")])
+    """doc_id, n_shingles, two 64-bit keys and the bitmap of the set, one row per document."""
+    schema = pa.schema([*[(n, pa.int64()) for n in ("doc_id", "n_shingles", "k1", "k2")], ("bits", pa.binary())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,14 +177,15 @@ def describe(docs: DataFrame, by: Similarity) -> DataFrame:
                 n_shingles=[len(s) for s in sets],
                 k1=[set_key(s, 11) for s in sets],
                 k2=[set_key(s, 13) for s in sets],
+                bits=[bitmap(s) for s in sets],
             )
 
     return map_tasks(
-        docs.select("doc_id", "text"), task, "doc_id long, n_shingles long, k1 long, k2 long"
+        docs.select("doc_id", "text"), task, "doc_id long, n_shingles long, k1 long, k2 long, bits binary"
     )
 
 
-def index(docs: DataFrame, by: Similarity, plan: dict[int, tuple[int, int]], edges: list[int]) -> DataFrame:
+def index(docs: DataFrame, by: Similarity, plan: dict[int, tuple[int, int, int]], edges: list[int]) -> DataFrame:
     """(sig, owner): the signatures of every set, once per set and task.
 
     ``owner`` is k1, its lowest bit set under the set's own band.
@@ -160,7 +206,9 @@ def index(docs: DataFrame, by: Similarity, plan: dict[int, tuple[int, int]], edg
                     band = int(np.searchsorted(edges, len(s), "right")) - 1
                     for scheme in (band, band + 1):
                         if scheme in plan:
-                            keys.append(signatures(s, scheme, *plan[scheme]))
+                            exact, near, largest = plan[scheme]
+                            need = allowed(len(s), largest, by.percent) + 1
+                            keys.append(signatures(s, scheme, exact, near, need))
                             owners.append(key | (scheme == band))
                 if keys:
                     yield rows(
@@ -172,8 +220,9 @@ def index(docs: DataFrame, by: Similarity, plan: dict[int, tuple[int, int]], edg
     return map_tasks(docs.select("text"), task, "sig long, owner long")
 
 
-def band_plan(sets: DataFrame, by: Similarity) -> tuple[dict[int, tuple[int, int]], list[int]]:
-    """The segments of every band that holds sets, from counts per band (a few hundred rows)."""
+def band_plan(sets: DataFrame, by: Similarity) -> tuple[dict[int, tuple[int, int, int]], list[int]]:
+    """The segments and the largest size of every band that holds sets, from counts per band (a few
+    hundred rows)."""
     top = sets.agg(F.max("n_shingles")).first()[0] or 0
     edges = band_edges(by.percent, top)
     of = F.lit(0)
@@ -185,15 +234,14 @@ def band_plan(sets: DataFrame, by: Similarity) -> tuple[dict[int, tuple[int, int
         largest = edges[band + 1] - 1
         d = allowed(largest, largest, by.percent)
         met = counts[band] + counts.get(band - 1, 0)
-        plan[band] = allocate((edges[band] + largest) // 2, d, met)
+        exact, near = allocate((edges[band] + largest) // 2, d, met)
+        plan[band] = (roomy(edges[band], d + 1, exact, near), near, largest)
     return plan, edges
 
 
 def stored_sets(docs: DataFrame, wanted: DataFrame, by: Similarity) -> DataFrame:
-    """``wanted`` (a, k1, lead, leads) with the hashes of each set as bytes, ``shingles``."""
-    schema = pa.schema(
-        [("a", pa.int64()), ("lead", pa.int64()), ("leads", pa.bool_()), ("shingles", pa.binary())]
-    )
+    """``wanted`` (a, k1) with the hashes of each set as bytes, ``shingles``."""
+    schema = pa.schema([("a", pa.int64()), ("shingles", pa.binary())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,12 +249,10 @@ def stored_sets(docs: DataFrame, wanted: DataFrame, by: Similarity) -> DataFrame
             keys = column_of(batch, "k1").to_pylist()
             same = pa.array([set_key(s, 11) == k for s, k in zip(sets, keys)], pa.bool_())
             held = pa.array([s.tobytes() for s in sets], pa.binary())
-            columns = [column_of(batch, n) for n in ("a", "lead", "leads")]
-            yield pa.RecordBatch.from_arrays([*columns, held], schema=schema).filter(same)
+            yield pa.RecordBatch.from_arrays([column_of(batch, "a"), held], schema=schema).filter(same)
 
     texts = docs.select(F.col("doc_id").alias("a"), "text").join(wanted, "a")
-    found = map_tasks(texts, task, "a long, lead long, leads boolean, shingles binary")
-    return materialize(found, "sets")
+    return materialize(map_tasks(texts, task, "a long, shingles binary"), "sets")
 
 
 def enough(both: np.ndarray, p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
@@ -214,8 +260,8 @@ def enough(both: np.ndarray, p: np.ndarray, q: np.ndarray, percent: int) -> np.n
     return both * (100 + percent) >= percent * (p + q)
 
 
-def star_links(sets: DataFrame, by: Similarity) -> DataFrame:
-    """(a, b): sets that link with their lead."""
+def edge_links(sets: DataFrame, edges: DataFrame, by: Similarity) -> DataFrame:
+    """The (a, b) of ``edges`` that link."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def links(x: bytes, y: bytes) -> bool:
@@ -227,10 +273,10 @@ def star_links(sets: DataFrame, by: Similarity) -> DataFrame:
         for batch in batches:
             mine, other = (column_of(batch, n).to_pylist() for n in ("shingles", "other"))
             kept = batch.filter(pa.array([links(x, y) for x, y in zip(mine, other)], pa.bool_()))
-            yield rows(schema, a=column_of(kept, "a"), b=column_of(kept, "lead"))
+            yield rows(schema, a=column_of(kept, "a"), b=column_of(kept, "b"))
 
-    leads = sets.where("leads").select(F.col("a").alias("lead"), F.col("shingles").alias("other"))
-    both = sets.where("lead is not null").select("a", "lead", "shingles").join(leads, "lead")
+    ends = sets.select(F.col("a").alias("b"), F.col("shingles").alias("other"))
+    both = edges.select("a", "b").join(sets, "a").join(ends, "b").select("a", "b", "shingles", "other")
     return map_tasks(both, task, "a long, b long")
 
 
@@ -253,12 +299,13 @@ def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 
 def block_links(members: DataFrame, by: Similarity) -> DataFrame:
-    """(a, b): links between the members (a, cluster, size, root, shingles) of each cluster that
+    """(a, b): links between the members (a, cluster, size, held, root, shingles) of each cluster that
     are in different components.
 
-    A cluster of n sets has n / BLOCK blocks; a set goes to as many tasks as there are blocks.
+    A cluster of n sets has n / BLOCK blocks, more if its sets are large (``held``: their shingles
+    together); a set goes to as many tasks as there are blocks.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("held") / BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("a"), blocks.cast("long")).cast("int")
     dealt = members.withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), blocks - 1))
@@ -286,63 +333,144 @@ def block_links(members: DataFrame, by: Similarity) -> DataFrame:
     return dealt.groupBy("cluster", "low", "high").applyInArrow(task, "a long, b long")
 
 
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """A bitmap brought to ``size`` bytes: its halves, combined by parity, as often as it takes."""
+    out = np.frombuffer(bits, np.uint64)
+    while out.nbytes > size:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
+def merge(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Gives all that the pairs connect the smallest label of theirs."""
+    while True:
+        p, q = label[x], label[y]
+        if (p == q).all():
+            return
+        root = np.arange(len(label))
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while (root != root[root]).any():
+            root = root[root]
+        label[:] = root[label]
+
+
+def compatible(group: np.ndarray, sizes: np.ndarray, own: np.ndarray, side: np.ndarray, bits: list[bytes], percent: int):
+    """Index pairs that connect, inside each group, all sets whose bitmaps allow a link.
+
+    ``group`` is sorted.  Two sets count if one is in its own band; of the groups that are dealt
+    into blocks (``side`` 0 or 1, else 2) only pairs across the sides count.
+    """
+    least = np.full(group.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, np.array([len(b) for b in bits]))
+    width, label = least[group], np.arange(len(group))
+    found = [np.zeros((2, 0), np.int64)]
+    for size in np.unique(width):
+        at = np.flatnonzero(width == size)
+        table = np.stack([folded(bits[i], int(size)) for i in at])
+        g, first, offset = group[at], np.arange(len(at) - 1), 1
+        while len(first := first[: np.searchsorted(first, len(at) - offset)]):
+            first = first[g[first] == g[first + offset]]
+            x, y = at[first], at[first + offset]
+            differ = np.bitwise_count(table[first] ^ table[first + offset]).sum(axis=1, dtype=np.int64)
+            ok = differ * (100 + percent) <= (sizes[x] + sizes[y]) * (100 - percent)
+            ok &= (own[x] | own[y]) & ((side[x] == 2) | (side[x] != side[y])) & (label[x] != label[y])
+            found.append(np.stack([x[ok], y[ok]]))
+            merge(label, x[ok], y[ok])
+            offset += 1
+    return np.concatenate(found, axis=1)
+
+
+def group_edges(members: DataFrame, by: Similarity) -> DataFrame:
+    """(k1, a, k1b, b) from the rows (sig, low, high, side, own, k1, a, n, bits) of every group."""
+    names = ["k1", "a", "k1b", "b"]
+    schema = pa.schema([(n, pa.int64()) for n in names])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def edges(table: pa.Table) -> pa.RecordBatch:
+            column = {n: table.column(n).to_numpy() for n in ("sig", "low", "high", "side", "own", "k1", "a", "n")}
+            new = np.zeros(table.num_rows, bool)
+            for n in ("sig", "low", "high"):
+                new[1:] |= column[n][1:] != column[n][:-1]
+            side = np.where(column["low"] == column["high"], 2, (column["side"] == column["high"]).astype(np.int64))
+            x, y = compatible(np.cumsum(new), column["n"], column["own"] == 1, side, table.column("bits").to_pylist(), by.percent)
+            apart = column["a"][x] != column["a"][y]
+            x, y = x[apart], y[apart]
+            return rows(schema, k1=column["k1"][x], a=column["a"][x], k1b=column["k1"][y], b=column["a"][y])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < GROUP_ROWS:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = [table.column(n).to_numpy() for n in ("sig", "low", "high")]
+            last = np.ones(table.num_rows, bool)
+            for k in keys:
+                last &= k == k[-1]
+            cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+            if cut:  # the last group may go on
+                yield edges(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+        if held and sum(b.num_rows for b in held):
+            yield edges(pa.Table.from_batches(held).combine_chunks())
+
+    order = ["sig", "low", "high"]
+    dealt = members.repartition(*order).sortWithinPartitions(*order, "n")
+    return map_tasks(dealt, task, "k1 long, a long, k1b long, b long")
+
+
 def candidates(docs: DataFrame, classes: DataFrame, by: Similarity, plan: dict, edges: list[int]) -> DataFrame:
-    """(k1, a, k1b, b, score): sets that share a signature with the best-connected set b of it."""
-    group = Window.partitionBy("sig")
-    own = F.col("owner").bitwiseAND(1)
-    shared = materialize(
-        index(docs, by, plan, edges)
-        .withColumn("met", F.count(F.lit(1)).over(group))
-        .withColumn("any_own", F.max(own).over(group))
-        # Two sets of a lower band meet under their own band as well.
-        .where("met > 1 and any_own = 1")
-        .select("sig", F.col("owner").bitwiseAND(~1).alias("k1"), own.alias("own"), "met"),
-        "shared",
+    """(k1, a, k1b, b): edges that connect all sets that share a signature and may link."""
+    written = materialize(index(docs, by, plan, edges), "index")
+    keyed = written.withColumn("k1", F.col("owner").bitwiseAND(~1)).withColumn("own", F.col("owner").bitwiseAND(1))
+    low, high = F.lit((1 << 31) - 1), 33
+    sums = []
+    for seed in (1, 2):
+        h = F.xxhash64("k1", F.lit(seed))
+        sums += [F.sum(h.bitwiseAND(low)).alias(f"low{seed}"), F.sum(F.shiftrightunsigned(h, high)).alias(f"high{seed}")]
+    groups = keyed.groupBy("sig").agg(
+        F.count(F.lit(1)).alias("met"), F.max("own").alias("any_own"), F.min("k1").alias("first"), F.max("k1").alias("last"), *sums
+    ).where("any_own = 1 and first < last")  # two sets of a lower band meet under their own band as well
+    same = [c for c in groups.columns if c not in ("sig", "any_own", "first", "last")]
+    chosen = groups.groupBy(*same).agg(F.min("sig").alias("sig")).select("sig", "met")
+    parts = F.ceil(F.col("met") / GROUP).cast("int")
+    shared = keyed.drop("owner").join(chosen, "sig").distinct().join(classes, "k1").select(
+        "sig", "own", "k1", "a", "n", "bits", parts.alias("parts"),
+        F.pmod(F.xxhash64("a"), parts.cast("long")).cast("int").alias("side"),
     )
-    score = shared.groupBy("k1").agg(F.sum("met").alias("score"))
-    lead = F.max(F.struct("own", "score", "k1")).over(group)
-    stars = (
-        shared.join(score, "k1").withColumn("lead", lead).where("k1 <> lead.k1")
-        .groupBy("k1", F.col("lead.k1").alias("k1b")).agg(F.max("lead.score").alias("score"))
+    dealt = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "sig", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"),
+        "side", "own", "k1", "a", "n", "bits",
     )
-    other = classes.select(F.col("k1").alias("k1b"), F.col("a").alias("b"))
-    return materialize(stars.join(classes.select("k1", "a"), "k1").join(other, "k1b").where("a <> b"), "stars")
+    return materialize(group_edges(dealt, by).distinct(), "edges")
 
 
 def links_between(docs: DataFrame, sets: DataFrame, by: Similarity) -> DataFrame | None:
     """(node, root): components over the smallest documents of the classes of equal sets.
 
-    None when no two sets share a signature.
+    None when no two sets may link.
     """
-    plan, edges = band_plan(sets, by)
+    plan, bounds = band_plan(sets, by)
     classes = (
         sets.where("n_shingles > 0 and doc_id is not null")
-        .groupBy("k1", "k2").agg(F.min("doc_id").alias("a"))
+        .groupBy("k1", "k2").agg(F.min("doc_id").alias("a"), F.max("n_shingles").alias("n"), F.max("bits").alias("bits"))
+        .drop("k2")
     )
-    stars = candidates(docs, classes, by, plan, edges)
-    if stars.isEmpty():
+    edges = candidates(docs, classes, by, plan, bounds)
+    if edges.isEmpty():
         return None
-    # Every set of a cluster is held, also a lead that is the best one of no other set.
-    first = stars.groupBy("k1", "a").agg(F.max(F.struct("score", "b")).alias("best"))
-    chosen = first.select(F.col("best.b").alias("b"), F.lit(True).alias("leads")).distinct()
-    wanted = (
-        first.select("k1", "a", F.col("best.b").alias("lead"), F.lit(False).alias("leads"))
-        .union(
-            stars.select("k1b", "b").distinct().join(chosen, "b", "left")
-            .select("k1b", "b", F.lit(None).cast("long"), F.coalesce("leads", F.lit(False)))
-        )
-        .groupBy("k1", "a").agg(F.max("lead").alias("lead"), F.max("leads").alias("leads"))
-    )
+    wanted = edges.select("k1", "a").union(edges.select("k1b", "b")).distinct()
     bodies = stored_sets(docs, wanted, by)
-    linked = materialize(star_links(bodies, by), "links")
-    clusters = components(stars)
+    linked = materialize(edge_links(bodies, edges, by), "links")
+    clusters = components(edges)
     roots = clusters.select(F.col("node").alias("a"), F.col("root").alias("cluster")).join(
         components(linked).withColumnRenamed("node", "a"), "a", "left"
-    ).withColumn("root", F.coalesce("root", "a"))
+    ).withColumn("root", F.coalesce("root", "a")).join(bodies.select("a", (F.length("shingles") / 8).alias("n")), "a")
     open_ = roots.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")
-    ).where("size > 2 and r0 <> r1").select("cluster", "size")
-    members = bodies.select("a", "shingles").join(roots.join(open_, "cluster"), "a")
+        F.count(F.lit(1)).alias("size"), F.sum("n").alias("held"), F.min("root").alias("r0"), F.max("root").alias("r1")
+    ).where("size > 2 and r0 <> r1").select("cluster", "size", "held")
+    members = bodies.join(roots.drop("n").join(open_, "cluster"), "a")
     more = materialize(block_links(members, by), "links")
     return components(linked.union(more))
 
