@@ -33,7 +33,7 @@ from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plaudit.llm.batches import column_of, groups_by_size, map_tasks, rows, texts_of
@@ -422,20 +422,27 @@ def group_edges(members: DataFrame, by: Similarity) -> DataFrame:
 
 def candidates(docs: DataFrame, classes: DataFrame, by: Similarity, plan: dict, edges: list[int]) -> DataFrame:
     """(k1, a, k1b, b): edges that connect all sets that share a signature and may link."""
-    written = materialize(index(docs, by, plan, edges), "index")
-    keyed = written.withColumn("k1", F.col("owner").bitwiseAND(~1)).withColumn("own", F.col("owner").bitwiseAND(1))
+    # Nearly all signatures are of one set.  One shuffle of the bare rows finds the others; grouping
+    # first would shuffle the sums of every signature and then its rows once more.
+    group = Window.partitionBy("sig")
+    key = F.col("owner").bitwiseAND(~1)
+    keyed = materialize(
+        index(docs, by, plan, edges)
+        .withColumns({"first": F.min(key).over(group), "last": F.max(key).over(group), "any_own": F.max(F.col("owner").bitwiseAND(1)).over(group)})
+        .where("any_own = 1 and first < last")  # two sets of a lower band meet under their own band as well
+        .select("sig", key.alias("k1"), F.col("owner").bitwiseAND(1).alias("own")),
+        "shared",
+    )
     low, high = F.lit((1 << 31) - 1), 33
     sums = []
     for seed in (1, 2):
         h = F.xxhash64("k1", F.lit(seed))
         sums += [F.sum(h.bitwiseAND(low)).alias(f"low{seed}"), F.sum(F.shiftrightunsigned(h, high)).alias(f"high{seed}")]
-    groups = keyed.groupBy("sig").agg(
-        F.count(F.lit(1)).alias("met"), F.max("own").alias("any_own"), F.min("k1").alias("first"), F.max("k1").alias("last"), *sums
-    ).where("any_own = 1 and first < last")  # two sets of a lower band meet under their own band as well
-    same = [c for c in groups.columns if c not in ("sig", "any_own", "first", "last")]
+    groups = keyed.groupBy("sig").agg(F.count(F.lit(1)).alias("met"), *sums)
+    same = [c for c in groups.columns if c != "sig"]
     chosen = groups.groupBy(*same).agg(F.min("sig").alias("sig")).select("sig", "met")
     parts = F.ceil(F.col("met") / GROUP).cast("int")
-    shared = keyed.drop("owner").join(chosen, "sig").distinct().join(classes, "k1").select(
+    shared = keyed.join(chosen, "sig").distinct().join(classes, "k1").select(
         "sig", "own", "k1", "a", "n", "bits", parts.alias("parts"),
         F.pmod(F.xxhash64("a"), parts.cast("long")).cast("int").alias("side"),
     )
