@@ -15,8 +15,8 @@ writes all segments, empty ones too, in a space of their own, where such sets me
 Groups of one signature with the same members are one group.  Inside a group two sets are compared
 by bitmaps of one bit a shingle (parity of the shingles at a place): the bits in which they differ
 never exceed the shingles in which they differ, so a pair beyond the allowed difference is no link.
-Of the others, edges that connect them are kept, not all pairs; both ends are then checked as whole
-sets.  Where a cluster of such edges is still in several components, its sets are dealt into blocks
+Of the others, edges that connect them are kept, not all pairs, and each set is checked against the
+smallest it has an edge to.  Where a cluster of such edges is still in several components, its sets are dealt into blocks
 and each two blocks are counted against each other in one task, by products of incidence matrices;
 only links leave the task.  Every check counts the intersection of whole sets.
 
@@ -416,7 +416,7 @@ def group_edges(members: DataFrame, by: Similarity) -> DataFrame:
             yield edges(pa.Table.from_batches(held).combine_chunks())
 
     order = ["sig", "low", "high"]
-    dealt = members.repartition(*order).sortWithinPartitions(*order, "n")
+    dealt = members.repartition(*order).sortWithinPartitions(*order, "n", "a")
     return map_tasks(dealt, task, "k1 long, a long, k1b long, b long")
 
 
@@ -469,7 +469,10 @@ def links_between(docs: DataFrame, sets: DataFrame, by: Similarity) -> DataFrame
         return None
     wanted = edges.select("k1", "a").union(edges.select("k1b", "b")).distinct()
     bodies = stored_sets(docs, wanted, by)
-    linked = materialize(edge_links(bodies, edges, by), "links")
+    # Each set is checked against the smallest one it has an edge to; what that leaves apart, in blocks.
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    first = both.groupBy("a").agg(F.min("b").alias("b")).where("b < a")
+    linked = materialize(edge_links(bodies, first, by), "links")
     clusters = components(edges)
     roots = clusters.select(F.col("node").alias("a"), F.col("root").alias("cluster")).join(
         components(linked).withColumnRenamed("node", "a"), "a", "left"
