@@ -2,8 +2,10 @@
 
 Documents are sorted by id over range partitions and cut into shards of about ``SHARD_IDS`` ids.
 In each shard frequent pairs of neighbouring symbols are replaced by nonterminals, round after
-round, many pairs at once; where pairs overlap, the more frequent one goes first and the others
-wait for the next round.  A shard stores its rules with their expansion lengths, the remaining
+round, many pairs at once, until no pair is frequent; where pairs overlap, the more frequent one
+goes first and the others wait for the next round.  A pair never becomes more frequent by other
+replacements, so a round counts only pairs that were frequent or hold a symbol of the round
+before.  A shard stores its rules with their expansion lengths, the remaining
 sequence, and where its documents begin, so that ids from any place can be decoded alone.
 
 A shard is one row of a Parquet table, its ``payload`` the bytes of the format below:
@@ -35,25 +37,51 @@ from plaudit.session import materialize
 MAGIC = b"RPR1"
 SHARD_IDS = 1 << 20
 END_ID = 1
-SLOTS = 16  # bits of the table that finds chosen pairs
 
 
 @dataclass(frozen=True)
 class Effort:
-    rounds: int = 8
-    pairs: int = 8192  # replaced in one round at most
+    pairs: int = 8192  # replaced in one round at most; the others wait
     at_least: int = 8  # occurrences of a pair
-    gain: float = 0.01  # stop when a round shortens the sequence by less
 
 
-def frequent_pairs(keys: np.ndarray, effort: Effort) -> np.ndarray:
-    """The most frequent pair keys, most frequent first."""
-    order = np.sort(keys)
-    starts = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
-    counts = np.diff(np.append(starts, len(order)))
+def maybe_frequent(keys: np.ndarray, at_least: int) -> np.ndarray:
+    """Places of keys whose hash occurs ``at_least`` times: all frequent keys and a few others."""
+    bits = max(8, len(keys).bit_length())
+    with np.errstate(over="ignore"):
+        slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+    return np.flatnonzero(np.bincount(slot, minlength=1 << bits)[slot] >= at_least)
+
+
+def weights(keys: np.ndarray, effort: Effort) -> tuple[np.ndarray, np.ndarray]:
+    """Of each key: is it frequent, and its weight in this round (0 none, the most frequent highest)."""
+    frequent, heavy = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    some = maybe_frequent(keys, effort.at_least)
+    if not len(some):
+        return frequent, heavy
+    order = some[np.argsort(keys[some])]
+    held = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+    counts = np.diff(np.append(starts, len(held)))
     often = np.flatnonzero(counts >= effort.at_least)
-    often = often[np.argsort(-counts[often], kind="stable")][: effort.pairs]
-    return order[starts[often]]
+    chosen = often[np.argsort(-counts[often], kind="stable")][: effort.pairs]
+    weight = np.zeros(len(counts), np.int64)
+    weight[chosen] = np.arange(len(chosen), 0, -1)
+    frequent[order] = np.repeat(counts >= effort.at_least, counts)
+    heavy[order] = np.repeat(weight, counts)
+    return frequent, heavy
+
+
+def without_overlap(at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the ascending places ``at`` are replaced: those heavier than their neighbours, and
+    every second one of a stretch of equal pairs, as in a run of one symbol."""
+    beside = at[1:] == at[:-1] + 1
+    before = np.concatenate([[0], np.where(beside, weight[:-1], 0)])
+    after = np.concatenate([np.where(beside, weight[1:], 0), [0]])
+    place = np.arange(len(at))
+    begin = np.maximum.accumulate(np.where(before != weight, place, 0))
+    step = place - begin - (before > weight)[begin]
+    return (step % 2 == 0) & (after <= weight)
 
 
 def compress(ids: np.ndarray, effort: Effort = Effort()) -> tuple[np.ndarray, np.ndarray, int]:
@@ -62,58 +90,62 @@ def compress(ids: np.ndarray, effort: Effort = Effort()) -> tuple[np.ndarray, np
     first = int(seq.max()) + 1 if len(seq) else 0
     rules: list[np.ndarray] = []
     made = first
-    for _ in range(effort.rounds):
-        if len(seq) < 2:
+    live = np.arange(len(seq) - 1)  # places whose pair may be frequent
+    while len(live):
+        keys = (seq[live] << np.uint64(32)) | seq[live + 1]
+        frequent, weight = weights(keys, effort)
+        heavy = np.flatnonzero(weight)
+        if not len(heavy):
             break
-        keys = (seq[:-1] << np.uint64(32)) | seq[1:]
-        chosen = frequent_pairs(keys, effort)
-        if not len(chosen):
-            break
-        # A small table by hashed key; of keys that share a slot the most frequent stays.
-        with np.errstate(over="ignore"):
-            slot = lambda k: (k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)
-            held = np.zeros(1 << SLOTS, np.uint64)
-            place = np.zeros(1 << SLOTS, np.int32)
-            held[slot(chosen[::-1])] = chosen[::-1]
-            place[slot(chosen[::-1])] = np.arange(len(chosen), 0, -1)
-            at = slot(keys)
-        rank = np.where(held[at] == keys, place[at], 0)
-        weight = np.where(rank > 0, len(chosen) + 1 - rank, 0)
-        before = np.concatenate([[0], weight[:-1]])
-        after = np.concatenate([weight[1:], [0]])
-        take = np.flatnonzero((weight > before) & (weight >= after))
-        if len(take) < effort.gain * len(seq):
-            break
-        used, number = np.unique(rank[take], return_inverse=True)
-        rules.append(chosen[used - 1])
-        seq[take] = number.astype(np.uint64) + np.uint64(made)
-        made += len(used)
-        seq = np.delete(seq, take + 1)
+        heavy = heavy[without_overlap(live[heavy], weight[heavy])]
+        _, where, number, uses = np.unique(weight[heavy], return_index=True, return_inverse=True, return_counts=True)
+        # The heaviest pair keeps at least every second of its places, so each round replaces some.
+        worth = uses >= effort.at_least // 2
+        rules.append(keys[heavy[where[worth]]])
+        fresh = np.cumsum(worth) - 1 + made
+        kept = worth[number]
+        take = live[heavy[kept]]
+        seq[take] = fresh[number[kept]].astype(np.uint64)
+        made += int(worth.sum())
+        alive, stay = np.zeros(len(seq), bool), np.ones(len(seq), bool)
+        alive[live[frequent]] = True
+        alive[take] = True
+        alive[take[take > 0] - 1] = True
+        stay[take + 1] = False
+        seq, alive = seq[stay], alive[stay]
+        live = np.flatnonzero(alive[:-1])
     flat = np.concatenate(rules) if rules else np.zeros(0, np.uint64)
     pairs = np.stack([flat >> np.uint64(32), flat & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
     return seq.astype(np.uint32), pairs, first
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    """The ids of some symbols; every pass replaces all nonterminals by their pairs."""
-    seq = symbols.astype(np.int64)
-    while True:
-        inner = seq >= first
-        if not inner.any():
-            return seq.astype(np.uint32)
-        twice = np.repeat(seq, 1 + inner)
-        left = np.flatnonzero(inner) + np.arange(inner.sum())
-        pair = rules[seq[inner] - first]
-        twice[left], twice[left + 1] = pair[:, 0], pair[:, 1]
-        seq = twice
+def spans(symbols: np.ndarray, lengths: np.ndarray, first: int) -> np.ndarray:
+    """Ids of each symbol."""
+    out = np.ones(len(symbols), np.int64)
+    inner = symbols >= first
+    out[inner] = lengths[symbols[inner].astype(np.int64) - first]
+    return out
+
+
+def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first: int) -> np.ndarray:
+    """The ids of some symbols; a nonterminal hands its place to both symbols of its pair."""
+    each = spans(symbols, lengths, first)
+    at = np.cumsum(each) - each
+    out = np.empty(int(each.sum()), np.uint32)
+    while len(symbols):
+        inner = symbols >= first
+        out[at[~inner]] = symbols[~inner]
+        pair, at = rules[symbols[inner].astype(np.int64) - first], at[inner]
+        at = np.concatenate([at, at + spans(pair[:, 0], lengths, first)])
+        symbols = np.concatenate([pair[:, 0], pair[:, 1]])
+    return out
 
 
 def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
     """Ids of each nonterminal; rules only use earlier ones, whole rounds at a time."""
     out = np.ones(len(rules), np.int64)
-    length = lambda s: np.where(s >= first, out[np.maximum(s.astype(np.int64) - first, 0)], 1)
     while len(rules):
-        new = length(rules[:, 0]) + length(rules[:, 1])
+        new = spans(rules[:, 0], out, first) + spans(rules[:, 1], out, first)
         if (new == out).all():
             break
         out = new
@@ -150,16 +182,13 @@ class Shard:
             raw.append(unpack(payload[at : at + size]))
             at += size
         self.rules = np.frombuffer(raw[0], "<u4").reshape(n_rules, 2)
-        lengths = np.frombuffer(raw[1], "<u4")
+        self.lengths = np.frombuffer(raw[1], "<u4").astype(np.int64)
         low, high = np.frombuffer(raw[2], "<u2"), np.frombuffer(raw[3], "<u2")
         self.symbols = low.astype(np.uint32) | (high.astype(np.uint32) << np.uint32(16))
         nulls = np.frombuffer(raw[5], "u1")
         self.doc_ids = [None if z else d for d, z in zip(np.frombuffer(raw[4], "<i8").tolist(), nulls)]
         self.starts = np.frombuffer(raw[6], "<u8").astype(np.int64)
-        each = np.ones(n_symbols, np.int64)
-        inner = self.symbols >= self.first
-        each[inner] = lengths[self.symbols[inner].astype(np.int64) - self.first]
-        self.ends = np.cumsum(each)
+        self.ends = np.cumsum(spans(self.symbols, self.lengths, self.first))
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """``n`` ids from ``start`` on: only the symbols that cover them are expanded."""
@@ -168,7 +197,7 @@ class Shard:
         low = int(np.searchsorted(self.ends, start, "right"))
         high = int(np.searchsorted(self.ends, start + n, "left")) + 1
         begins = int(self.ends[low - 1]) if low else 0
-        part = expand(self.symbols[low:high], self.rules, self.first)
+        part = expand(self.symbols[low:high], self.rules, self.lengths, self.first)
         return part[start - begins : start - begins + n]
 
 

@@ -12,18 +12,20 @@ from __future__ import annotations
 import base64
 import json
 import re
+import struct
+from collections.abc import Callable
 from functools import lru_cache
 
-import numpy as np
 import public_tokenizers
 import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000  # in each of two generations
 #: The pattern by which word_bpe_49k cuts words (as its file states it).
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 # A run of blanks gives all but its last blank as one stretch; the last goes with what follows.
 _STRETCHES = re.compile(r"[ \n]+(?=[ \n][^ \n])| ?[^ \n]+|[ \n]+")
 _OTHER_BLANK = re.compile(r"[^\S \n]")
@@ -72,6 +74,34 @@ def word_merger(name: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(name, pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Cache(dict):
+    """Ids of stretches, each encoded when it is first asked for.
+
+    Two generations: a full cache becomes the older one, and what is asked for again moves over.
+    """
+
+    def __init__(self, encode: Callable[[str], list[int]]) -> None:
+        super().__init__()
+        self.encode = encode
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.older.get(part)
+        if ids is None:
+            ids = packed(self.encode(part))
+        if len(part) < 64:
+            if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[part] = ids
+        return ids
+
+
 class WordEncoder:
     """Ids by word_bpe_49k: lower case, blanks dropped."""
 
@@ -79,12 +109,14 @@ class WordEncoder:
         self.exact = library(name)
         self.merge = word_merger(name)._core_bpe.encode_single_piece
         self.cut = regex.compile(WORD_PATTERN)
-        self.cache: dict[str, bytes] = {}
+        self.cache = Cache(self.stretch)
 
     def piece(self, word: str) -> list[int]:
         return self.merge(word.encode() + END)
 
     def stretch(self, part: str) -> list[int]:
+        if _LETTERS.fullmatch(part):
+            return self.piece(part.lower())
         if _PLAIN.fullmatch(part) and "<|" not in part:
             return [i for w in self.cut.findall(part.lower()) for i in self.piece(w)]
         return self.exact.encode(part, add_special_tokens=False).ids
@@ -109,17 +141,7 @@ class WordEncoder:
 
     def parts(self, text: str) -> list[bytes]:
         """Ids of each stretch as little-endian 32-bit integers."""
-        found, out = self.cache, []
-        for part in self.cut_blanks(text):
-            ids = found.get(part)
-            if ids is None:
-                if len(found) > CACHE_WORDS:
-                    found.clear()
-                ids = np.array(self.stretch(part), "<u4").tobytes()
-                if len(part) < 64:
-                    found[part] = ids
-            out.append(ids)
-        return out
+        return list(map(self.cache.__getitem__, self.cut_blanks(text)))
 
     def encode(self, text: str) -> bytes:
         return b"".join(self.parts(text))
@@ -136,24 +158,14 @@ class ByteEncoder:
             name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
         self.plain = merger.encode_ordinary
-        self.cache: dict[str, bytes] = {}
+        self.cache = Cache(self.plain)
 
     def encode(self, text: str) -> bytes:
         if "<|" in text:
-            return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return packed(self.exact.encode(text, add_special_tokens=False).ids)
         if _OTHER_BLANK.search(text):
-            return np.array(self.plain(text), "<u4").tobytes()
-        found, out = self.cache, []
-        for part in _STRETCHES.findall(text):
-            ids = found.get(part)
-            if ids is None:
-                if len(found) > CACHE_WORDS:
-                    found.clear()
-                ids = np.array(self.plain(part), "<u4").tobytes()
-                if len(part) < 64:
-                    found[part] = ids
-            out.append(ids)
-        return b"".join(out)
+            return packed(self.plain(text))
+        return b"".join(map(self.cache.__getitem__, _STRETCHES.findall(text)))
 
 
 @lru_cache(maxsize=1)
