@@ -3,8 +3,10 @@
 The plan is made from the counts per length alone (as many numbers as the capacity, whatever the
 corpus).  For each length, largest first, single lengths, pairs and triples whose sum fills the
 gap exactly are looked up and consumed as often as all of them are available; what is left is
-placed best-fit by decreasing length.  Each step uses up a length or a group of open sequences,
-so the plan has a few thousand entries at most.  Pieces then find their place by their rank among
+placed best-fit by decreasing length.  Pairs and triples of small lengths can take what later gaps
+need, so the plan is made once for each of ``RESERVES`` (lengths below it stay out of pairs and
+triples) and the one of the fewest sequences counts.  Each step uses up a length or a group of
+open sequences, so the plan has a few thousand entries at most.  Pieces then find their place by their rank among
 the pieces of their length; ranks are counted per length and salt, so no length is one group.
 
 Contract: null text is empty (one piece, the end id).  Repeated rows are packed each.  An empty
@@ -28,6 +30,7 @@ from plaudit.session import materialize
 CAPACITY = 1024
 END_ID = 2
 SALT_ROWS = 500_000  # pieces per salt of one length, about
+RESERVES = (0, 1 / 32, 1 / 16, 1 / 8, 3 / 16, 1 / 4, 3 / 8, 1 / 2)  # of the capacity
 
 Plan = list[tuple[tuple[int, ...], int]]
 
@@ -71,24 +74,39 @@ def _times(parts: tuple[int, ...], left: np.ndarray) -> int:
     return min(int(left[p]) // parts.count(p) for p in set(parts))
 
 
-def _sums(total: int, left: np.ndarray, size: int) -> Iterator[tuple[int, ...]]:
-    """Available lengths, ``size`` of them, that add up to ``total``; largest first."""
+def _sums(total: int, left: np.ndarray, size: int, least: int = 1) -> Iterator[tuple[int, ...]]:
+    """Available lengths, ``size`` of them and none below ``least``, that add up to ``total``; largest first."""
     if size == 1:
-        if total > 0 and left[total]:
+        if total >= least and left[total]:
             yield (total,)
     elif size == 2:
-        half = np.arange((total + 1) // 2, total)
+        half = np.arange((total + 1) // 2, total - least + 1)
         for a in half[(left[half] > 0) & (left[total - half] > 0)][::-1].tolist():
             yield (a, total - a)
     else:
-        for a in np.flatnonzero(left[: max(total - 1, 0)])[::-1].tolist():
-            for b, c in _sums(total - a, left, 2):
+        most = np.arange(-(-total // 3), total - 2 * least + 1)
+        for a in most[left[most] > 0][::-1].tolist():
+            for b, c in _sums(total - a, left, 2, least):
                 if b <= a:
                     yield (a, b, c)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """Sequences as (lengths, how many such sequences); every piece is used exactly once."""
+    least = -(-sum(length * n for length, n in counts.items()) // capacity)
+    best: tuple[int, Plan] | None = None
+    for reserve in RESERVES:
+        made = _complements(counts, capacity, max(1, int(reserve * capacity)))
+        n = sum(many for _, many in made)
+        if best is None or n < best[0]:
+            best = n, made
+        if n == least:
+            break
+    return best[1] if best else []
+
+
+def _complements(counts: dict[int, int], capacity: int, reserve: int) -> Plan:
+    """Exact complements, pairs and triples of lengths from ``reserve`` on, then best fit."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] += n
@@ -96,11 +114,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     if left[capacity]:
         made.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
-    for size in (1, 2, 3):
+    for size, least in ((1, 1), (2, reserve), (3, reserve)):
         for length in range(capacity - 1, 0, -1):
             if not left[length]:
                 continue
-            for others in _sums(capacity - length, left, size):
+            for others in _sums(capacity - length, left, size, least):
                 n = _times((length, *others), left)
                 if n:
                     for p in (length, *others):

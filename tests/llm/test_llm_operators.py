@@ -293,6 +293,18 @@ def test_plan_uses_every_piece_once(seed):
     assert sum(n for _, n in made) <= 1.02 * least + 1
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_plan_is_no_worse_than_plain_best_fit(spark, sf):
+    made = packing.pieces(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"))
+    counts = {r.length: r["count"] for r in made.groupBy("length").count().collect()}
+    left = np.zeros(packing.CAPACITY + 1, np.int64)
+    left[list(counts)] = list(counts.values())
+    best_fit = sum(n for _, n in packing._best_fit(left, packing.CAPACITY))
+    plan = packing.plan(counts)
+    assert sum(n for _, n in plan) <= best_fit
+    assert sum(n for parts, n in plan if sum(parts) == packing.CAPACITY and len(parts) > 1)
+
+
 def test_packing_whole(odd, none):
     out = packing.packed(odd, capacity=64).collect()
     exact = library("byte_bpe_50k.json")
