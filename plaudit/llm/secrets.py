@@ -37,6 +37,12 @@ NAME = r"[A-Za-z0-9+/_=-]"
 KINDS = ("assign", "access", "hex", "markov")
 SIZE = len(ALPHABET)
 BLOCK = 64
+NAMED = 32
+#: A word, year, month, day, a number.
+FORMS = (
+    "%1$s_%2$04d-%3$02d-%4$02d_%1$s", "%1$s_%2$04d%3$02d%4$02dT%3$02d%4$02d%3$02d_%1$s", "%2$04d/%3$02d/%4$02d/%1$s",
+    "%1$s-v%3$d-%4$d-%3$d", "%1$s%4$d_%1$s_%5$04d", "%1$s_%5$08d_%1$s", "%1$s-%2$04d%3$02d%4$02d-%1$s",
+)
 
 
 @dataclass(frozen=True)
@@ -137,7 +143,11 @@ def _value(match: Column) -> Column:
 
 
 def labelled(docs: DataFrame, markov: Markov) -> DataFrame:
-    """(sample, random): distinct strings, random ones as the base patterns catch them."""
+    """(sample, random): distinct strings, random ones as the base patterns catch them.
+
+    Prose has few digits, so every ordinary string of up to ``NAMED`` characters also comes once
+    with a date, a version or a number, as files and fields are named.
+    """
     total = docs.count()
     part = min(1.0, markov.sample_docs / max(total, 1))
     some = docs.select(F.coalesce("text", F.lit("")).alias("t")).where(
@@ -154,9 +164,18 @@ def labelled(docs: DataFrame, markov: Markov) -> DataFrame:
     plain = some.select(F.explode(names).alias("sample")).distinct().join(caught, "sample", "left_anti")
     # A value may stand inside a longer run of the same characters, such as token=abc.
     plain = plain.where(~F.col("sample").rlike(f"{ACCESS}|{HEX}") & ~F.col("sample").contains("="))
+    plain = plain.unionByName(plain.where(F.length("sample") <= NAMED).select(_numbered(F.col("sample")).alias("sample")))
     return caught.unionByName(plain.withColumn("random", F.lit(False)))
 
 
+def _numbered(name: Column) -> Column:
+    """The name with numbers in it; the form goes by hash."""
+    draw = lambda i, n: F.pmod(F.xxhash64(name, F.lit(i)), F.lit(n)).cast("int")
+    form = F.array(*map(F.lit, FORMS))[draw(0, len(FORMS))]
+    date = [1990 + draw(1, 45), 1 + draw(2, 12), 1 + draw(3, 28)]
+    return F.call_function("format_string", form, name, *date, draw(4, 100_000_000))
+
+
 def _steps(token: Column) -> Column:
     """Index of every step from one character to the next in the SIZE x SIZE table."""
     at = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1))) - 1

@@ -29,7 +29,7 @@ def test_pipeline(spark, sf):
         assert out.columns == docs.columns
         ids, before = {r.doc_id for r in out.collect()}, {r.doc_id for r in seen.collect()}
         if name == "quality_rules":
-            assert ids == {r.doc_id for r in quality.quality(seen).where("kept").collect()}
+            assert ids == {r.doc_id for r in quality.quality(seen, quality.fitted(seen, spark.read.parquet(f"{sf}/labels.parquet"))).where("kept").collect()}
         if name == "ngram_jaccard":
             assert ids == {r.component_id for r in jaccard.near_groups(seen, corpus_pipeline.NEAR).collect()}
         if name == "secret_scans":
