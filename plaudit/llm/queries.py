@@ -30,7 +30,8 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    return quality.quality(docs, quality.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
