@@ -557,3 +557,11 @@ def test_profile_in_one_pass(spark):
     want = {("k", 3, 3, 2), ("t", 3, 2, 2)}
     assert {tuple(r) for r in enrich.profile(df).collect()} == want
     assert {tuple(r) for r in enrich.profile(df, ["k"]).collect()} == want
+
+
+def test_top_words_of_any_length(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "ox ox OX cat. q", "en"), (2, None, "en")], "doc_id long, text string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    from plaudit.plans.catalog import QUERIES
+
+    assert list(map(tuple, QUERIES["top_words"](spark, str(tmp_path)).collect())) == [("ox", 3), ("cat", 1), ("q", 1)]
