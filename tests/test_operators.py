@@ -559,6 +559,22 @@ def test_profile_in_one_pass(spark):
     assert {tuple(r) for r in enrich.profile(df, ["k"]).collect()} == want
 
 
+def test_pairs_are_found_once_per_line(spark):
+    rows = spark.createDataFrame([(1, "The food was great and not cold. They left the rice cold.")], "review_id long, text string")
+    found = pairs.aspect_pairs(rows, keep=["review_id"])
+    plan = found._jdf.queryExecution().optimizedPlan()
+    conf = "spark.sql.debug.maxToStringFields"
+    spark.conf.set(conf, 10_000)
+    try:
+        text = plan.toString()
+    finally:
+        spark.conf.unset(conf)
+    assert text.count("n't|[a-z]+") == 1 and text.count(f"({pairs.ATTRIBUTIVE})") == 1
+    assert {(r.aspect_seed, r.aspect_opinion, r.aspect_negated) for r in found.collect()} == {
+        ("food", "great", False), ("food", "not cold", True), ("rice", "cold", False),
+    }
+
+
 def test_top_words_of_any_length(spark, tmp_path):
     docs = spark.createDataFrame([(1, "ox ox OX cat. q", "en"), (2, None, "en")], "doc_id long, text string, lang string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
