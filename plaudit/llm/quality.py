@@ -38,9 +38,9 @@ class Bands:
     starts at ``highest`` for 64 bytes and rises by ``step`` with each doubling.  ``share``: a
     text is rejected when more than this part of its chunks lies outside the band.
 
-    ``limits`` has (is chunk, length class) -> (lowest, highest) as far as they are fitted.  A fit
-    reads ``sample`` good documents at most; a class reaches from quantile ``tail`` to its mirror
-    image, and on both sides half as far again as these lie from the median.
+    ``limits`` has (is chunk, length class) -> (lowest, highest) as far as they are fitted.  A class
+    reaches from quantile ``tail`` of all good documents to its mirror image, and on both sides half
+    as far again as these lie from the median.
     """
 
     level: int = 3
@@ -49,7 +49,6 @@ class Bands:
     highest: float = 2.4
     step: float = 0.18
     share: float = 0.25
-    sample: int = 20_000
     enough: int = 50
     tail: float = 0.005
     limits: tuple[tuple[tuple[bool, int], tuple[float, float]], ...] = ()
@@ -138,35 +137,36 @@ def judge(texts: list[str], bands: Bands) -> dict[str, list]:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, bands: Bands = Bands()) -> Bands:
-    """Bands with limits from documents of label ``quality`` 1 that pass the base rule, the first
-    ``sample`` by a hash of their id.
+    """Bands with limits from all documents of label ``quality`` 1 that pass the base rule.
 
     Documents of crc32(doc_id as text) mod 4 = 2 never teach.  Without labels the bands stay as
-    they are; of several labels of one document the lowest counts.
+    they are; of several labels of one document the lowest counts.  Ratios are joined with the
+    labels, so no text is shuffled.
     """
-    schema = pa.schema([("is_chunk", pa.bool_()), ("class", pa.int32()), ("ratio", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("is_chunk", pa.bool_()), ("class", pa.int32()), ("ratio", pa.float64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch)
-            for t, failed in zip(texts, judge(texts, bands)["base_failed"]):
-                if failed:
-                    continue
-                raw = t.encode("utf-8", "surrogatepass")
-                parts = [raw, *chunks_of(raw, bands.chunk)]
-                yield rows(
-                    schema, **{"class": [len(part).bit_length() for part in parts]},
-                    is_chunk=[i > 0 for i in range(len(parts))],
-                    ratio=[ratio_of(part, bands.level) for part in parts],
-                )
+            texts, ids = texts_of(batch), column_of(batch, "doc_id").to_pylist()
+            failed = judge(texts, bands)["base_failed"]
+            found: list[tuple] = []
+            for doc_id, t, bad in zip(ids, texts, failed):
+                if not bad:
+                    raw = t.encode("utf-8", "surrogatepass")
+                    parts = [raw, *chunks_of(raw, bands.chunk)]
+                    found += [(doc_id, i > 0, len(p).bit_length(), ratio_of(p, bands.level)) for i, p in enumerate(parts)]
+            if found:
+                yield rows(schema, **dict(zip(schema.names, zip(*found))))
 
     teaches = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2
-    good = labels.where(teaches & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    some = good.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bands.sample).select("doc_id")
-    taught = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text")
+    known = labels.where(teaches & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    good = known.where("quality = 1").select("doc_id")
+    ratios = map_tasks(
+        docs.where(teaches).select("doc_id", "text"), task, "doc_id long, is_chunk boolean, class int, ratio double"
+    )
     tails = F.percentile_approx("ratio", [bands.tail, 0.5, 1 - bands.tail], 10_000)
     found = (
-        map_tasks(taught, task, "is_chunk boolean, class int, ratio double")
+        ratios.join(good, "doc_id")
         .groupBy("is_chunk", "class").agg(F.count("*").alias("n"), tails.alias("q")).where(F.col("n") >= bands.enough)
     )
     reach = lambda low, middle, high: (low - (middle - low) / 2, high + (high - middle) / 2)

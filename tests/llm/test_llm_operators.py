@@ -279,6 +279,17 @@ def test_bands_reject_repetition_and_noise(spark, sf):
 # -- 5 packing ---------------------------------------------------------------------------------
 
 
+def test_bands_learn_from_every_good_document(spark):
+    docs = spark.range(28_000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("a b c d e f g h i j k l m n o p q r s t u v w x y z w"), F.format_string("%012d", "id")).alias("text")
+    )
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    teach = docs.where("crc32(cast(doc_id as string)) % 4 <> 2").count()
+    assert teach > 20_000
+    assert [k for k, _ in quality.fitted(docs, labels, quality.Bands(enough=teach)).limits] == [(False, 7)]
+    assert quality.fitted(docs, labels, quality.Bands(enough=teach + 1)).limits == ()
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_uses_every_piece_once(seed):
     rng = random.Random(seed)
