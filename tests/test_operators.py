@@ -581,3 +581,17 @@ def test_top_words_of_any_length(spark, tmp_path):
     from plaudit.plans.catalog import QUERIES
 
     assert list(map(tuple, QUERIES["top_words"](spark, str(tmp_path)).collect())) == [("ox", 3), ("cat", 1), ("q", 1)]
+
+
+def test_pairs_of_single_reviews_are_not_shuffled(spark):
+    schema = "review_id long, user_id long, text string"
+    texts = ["The food was great. We went.  The food was great ! The fish was dry.", "The food was great. The tea was hot.", None]
+    once = spark.createDataFrame([(1, 1, texts[0]), (1, 2, texts[1]), (None, 2, texts[1]), (2, None, texts[2])], schema)
+    twice = once.union(spark.createDataFrame([(1, 1, texts[1]), (1, 1, texts[0]), (None, 2, texts[0])], schema))
+    assert "Aggregate" not in jobs.extract(once)._jdf.queryExecution().optimizedPlan().toString()
+    first = {("food", "great"), ("fish", "dry")}
+    second = {("food", "great"), ("tea", "hot")}
+    want = {(1, 1): first, (1, 2): second, (None, 2): second}
+    for rows, expected in ((once, want), (twice, {**want, (1, 1): first | second, (None, 2): first | second})):
+        got = [(r.review_id, r.user_id, r.aspect_seed, r.aspect_opinion) for r in jobs.extract(rows).collect()]
+        assert sorted(got, key=str) == sorted(((*k, *p) for k, v in expected.items() for p in v), key=str)
