@@ -240,8 +240,13 @@ def band_plan(sets: DataFrame, by: Similarity) -> tuple[dict[int, tuple[int, int
 
 
 def stored_sets(docs: DataFrame, wanted: DataFrame, by: Similarity) -> DataFrame:
-    """``wanted`` (a, k1) with the hashes of each set as bytes, ``shingles``."""
+    """``wanted`` (a, k1) with the hashes of each set as bytes, ``shingles``.
+
+    Few sets of many are wanted.  Stored, their table has a known size, and the texts meet it where they are
+    read as long as it can be broadcast; guessed, every text would be shuffled.
+    """
     schema = pa.schema([("a", pa.int64()), ("shingles", pa.binary())])
+    wanted = materialize(wanted, "wanted")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -471,7 +476,7 @@ def links_between(docs: DataFrame, sets: DataFrame, by: Similarity) -> DataFrame
     bodies = stored_sets(docs, wanted, by)
     # Each set is checked against the smallest one it has an edge to; what that leaves apart, in blocks.
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    first = both.groupBy("a").agg(F.min("b").alias("b")).where("b < a")
+    first = materialize(both.groupBy("a").agg(F.min("b").alias("b")).where("b < a"), "first")
     linked = materialize(edge_links(bodies, first, by), "links")
     clusters = components(edges)
     roots = clusters.select(F.col("node").alias("a"), F.col("root").alias("cluster")).join(
@@ -480,7 +485,7 @@ def links_between(docs: DataFrame, sets: DataFrame, by: Similarity) -> DataFrame
     open_ = roots.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("size"), F.sum("n").alias("held"), F.min("root").alias("r0"), F.max("root").alias("r1")
     ).where("size > 2 and r0 <> r1").select("cluster", "size", "held")
-    members = bodies.join(roots.drop("n").join(open_, "cluster"), "a")
+    members = bodies.join(materialize(roots.drop("n").join(open_, "cluster"), "open"), "a")
     more = materialize(block_links(members, by), "links")
     return components(linked.union(more))
 

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from plaudit.llm import mixing, ranks, trie, variants
+from plaudit.llm import jaccard, mixing, ranks, trie, variants
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, size long, pos long, word string"
 
@@ -241,3 +241,17 @@ def test_vocabulary_counts_whole_texts(spark):
     df = spark.createDataFrame(docs, COLUMNS)
     assert {r.word: r.n for r in variants.vocabulary(df).collect()} == {w: n for w, n in want.items() if len(w) >= 5 and n >= 3}
     assert variants.variants(df.limit(0)).collect() == []
+
+
+def test_texts_of_few_wanted_sets_are_not_shuffled(spark, monkeypatch):
+    # Tables whose guessed sizes are far beyond a broadcast; ten rows are left of each.
+    some = spark.range(10**7).where("id % 1000000 = 0")
+    docs = some.select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c d "), "id").alias("text"))
+    keys = {i: jaccard.set_key(jaccard.shingle_sets([f"a b c d {i}"], 3)[0], 11) for i in range(0, 10**7, 10**6)}
+    key = F.create_map(*[F.lit(x) for pair in keys.items() for x in pair])
+    plans, run = [], jaccard.map_tasks
+    monkeypatch.setattr(jaccard, "map_tasks", lambda df, *rest: plans.append(df) or run(df, *rest))
+    stored = jaccard.stored_sets(docs, some.select(F.col("id").alias("a"), F.element_at(key, F.col("id")).alias("k1")), jaccard.Similarity())
+    assert sorted(r.a for r in stored.collect()) == sorted(keys)
+    plan = plans[0]._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
