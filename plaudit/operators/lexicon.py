@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.bind import is_in
-from ..functions.text import sentences, word_tokens
 
 ASPECTS = ("food", "service", "price", "amb")
 
@@ -18,7 +17,9 @@ def _sentence_facts(
     text: Column, aspects: vocab.Vocabulary, positive: Sequence[str], negative: Sequence[str]
 ) -> Column:
     """Per sentence that names an aspect: which aspects, and its positive and negative words."""
-    tokens = F.transform(sentences(F.lower(text)), word_tokens)
+    # Most words are in no list: one lookup settles them.  Empty sentences name no aspect.
+    known = is_in(sorted({*positive, *negative, *(w for terms in aspects.values() for w in terms)}))
+    tokens = F.transform(F.split(F.lower(text), "[.!?]+"), lambda s: F.filter(F.regexp_extract_all(s, F.lit("[a-z']+"), F.lit(0)), known))
     facts = F.transform(
         tokens,
         lambda words: F.struct(

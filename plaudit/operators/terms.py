@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -99,16 +100,21 @@ EXTRACTED = T.StructType(
 )
 
 
+_ASCII_WORD = re.compile("[a-z]+")
+_BUCKETED = frozenset(w for words in vocab.BUCKETS_EXACT.values() for w in words)
+_PLUS, _MINUS = frozenset(vocab.LEXICON_POSITIVE), frozenset(vocab.LEXICON_NEGATIVE)
+
+
 def keyword_scorer(texts: list[str]) -> list[dict[str, list[str]]]:
     """Stand-in for a model: bucket words found in a text, all labelled by its opinion words."""
-    nouns = {w for words in vocab.BUCKETS_EXACT.values() for w in words}
-    plus, minus = set(vocab.LEXICON_POSITIVE), set(vocab.LEXICON_NEGATIVE)
     out = []
     for text in texts:
-        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
-        balance = sum((w in plus) - (w in minus) for w in words)
+        low = text.lower()
+        # The letters of ASCII are known; other texts are asked letter by letter.
+        words = _ASCII_WORD.findall(low) if low.isascii() else "".join(c if c.isalpha() else " " for c in low).split()
+        balance = sum((w in _PLUS) - (w in _MINUS) for w in words)
         label = "Positive" if balance > 0 else "Negative" if balance < 0 else "Neutral"
-        found = [w for w in words if w in nouns]
+        found = [w for w in words if w in _BUCKETED]
         out.append({"aspect": found, "sentiment": [label] * len(found)})
     return out
 

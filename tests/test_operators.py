@@ -595,3 +595,17 @@ def test_pairs_of_single_reviews_are_not_shuffled(spark):
     for rows, expected in ((once, want), (twice, {**want, (1, 1): first | second, (None, 2): first | second})):
         got = [(r.review_id, r.user_id, r.aspect_seed, r.aspect_opinion) for r in jobs.extract(rows).collect()]
         assert sorted(got, key=str) == sorted(((*k, *p) for k, v in expected.items() for p in v), key=str)
+
+
+def test_lexicon_lower_cases_a_text_once(spark):
+    rows = spark.createDataFrame([("The FOOD was great. Staff's rude! We ate",), ("",), (None,)], "text string")
+    scored = lexicon.score_reviews(rows, with_terms=False)
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    got = [(r.aspect_food, r.aspect_service) for r in scored.collect()]
+    assert got[0] == pytest.approx((1, -1), abs=1e-5) and got[1:] == [(0.0, 0.0)] * 2
+
+
+def test_words_of_the_keyword_scorer():
+    texts = ["Great PIZZA,rice2go; food_cake", "Die Pizza é café coffeeé ½food² fish", "", "K tea\x1dbread"]
+    for text, found in zip(texts, (["pizza", "rice", "food", "cake"], ["pizza", "food", "fish"], [], ["tea", "bread"])):
+        assert terms.keyword_scorer([text])[0]["aspect"] == found
