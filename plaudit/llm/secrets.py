@@ -222,7 +222,8 @@ def looks_random(token: Column, model: list[float], margin: float, shortest: int
     end at a step, the last ``m`` steps and the best sums of at least ``m``, with any characters and
     with a letter; what each step adds is its ratio less the margin.
     """
-    table = F.expr("array(" + ",".join(f"{x - margin!r}D" for x in model) + ")")
+    # One literal that is folded to an array once; an expression for each number would fill the driver.
+    table = F.split(F.lit(",".join(repr(x - margin) for x in model)), ",").cast("array<double>")
     m, low, none = max(shortest - 1, 1), F.lit(float("-inf")), F.lit(-1)
     letter = lambda at: at < 52
     start = F.struct(

@@ -626,3 +626,13 @@ def test_shards_whole(odd, none, monkeypatch):
     order = [r.doc_id for r in out]
     assert order[0] is None and order[1:] == sorted(order[1:])
     assert repair.read_back(repair.shards(none)).count() == 0
+
+
+def test_the_secret_model_is_one_literal(spark):
+    model = [((i * 7919) % 1000 - 500) / 250 for i in range(secrets.SIZE**2)]
+    docs = spark.createDataFrame([(1, "name aB3dE5gH7jK9mN1pQ3sT and plain words"), (2, None)], "doc_id long, text string")
+    redacted = secrets.redact(docs, model=model)
+    plans = redacted._jdf.queryExecution()
+    cut = "split(" + repr(model[0] - secrets.Markov().margin)
+    assert cut in plans.analyzed().toString() and cut not in plans.optimizedPlan().toString()
+    assert [r.doc_id for r in redacted.orderBy("doc_id").collect()] == [1, 2]
