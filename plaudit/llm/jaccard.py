@@ -18,7 +18,7 @@ never exceed the shingles in which they differ, so a pair beyond the allowed dif
 Of the others, edges that connect them are kept, not all pairs, and each set is checked against the
 smallest it has an edge to.  Where a cluster of such edges is still in several components, its sets are dealt into blocks
 and each two blocks are counted against each other in one task, by products of incidence matrices;
-only links leave the task.  Every check counts the intersection of whole sets.
+only a star of the components it connects leaves the task.  Every check counts the intersection of whole sets.
 
 Contract: null or empty texts have an empty set and link with nothing.  Equal sets are one class,
 whatever their number, and count as linked.  Rows that share a doc_id count as one document.  A
@@ -304,11 +304,12 @@ def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 
 def block_links(members: DataFrame, by: Similarity) -> DataFrame:
-    """(a, b): links between the members (a, cluster, size, held, root, shingles) of each cluster that
-    are in different components.
+    """(a, b): components (``root``) that links between the members (a, cluster, size, held, root,
+    shingles) of each cluster connect.
 
-    A cluster of n sets has n / BLOCK blocks, more if its sets are large (``held``: their shingles
-    together); a set goes to as many tasks as there are blocks.
+    A task returns fewer rows than it has components, whatever the number of links.  A cluster of n
+    sets has n / BLOCK blocks, more if its sets are large (``held``: their shingles together); a set
+    goes to as many tasks as there are blocks.
     """
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("held") / BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("a"), blocks.cast("long")).cast("int")
@@ -316,14 +317,14 @@ def block_links(members: DataFrame, by: Similarity) -> DataFrame:
         "other", F.explode(F.sequence(F.lit(0), blocks - 1))
     ).select(
         "cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-        "a", "own", "root", "shingles",
+        "own", "root", "shingles",
     )
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def task(group: pa.Table) -> pa.Table:
         low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
         side = np.array(group.column("own"))
-        ids, root = np.array(group.column("a")), np.array(group.column("root"))
+        root = np.array(group.column("root"))
         sets = [np.frombuffer(b, np.uint64) for b in group.column("shingles").to_pylist()]
         first, second = np.flatnonzero(side == low), np.flatnonzero(side == high)
         if not len(first) or not len(second):
@@ -331,9 +332,13 @@ def block_links(members: DataFrame, by: Similarity) -> DataFrame:
         sizes = np.array([len(s) for s in sets])
         both = intersections([sets[i] for i in first], [sets[i] for i in second])
         ok = enough(both, sizes[first][:, None], sizes[second][None, :], by.percent)
-        ok &= root[first][:, None] != root[second][None, :]
-        i, j = np.nonzero(ok)
-        return pa.table({"a": ids[first[i]], "b": ids[second[j]]}, schema=schema)
+        i, j = np.nonzero(ok & (root[first][:, None] != root[second][None, :]))
+        # All links of near copies would be the square of their number: what these connect is a star.
+        roots, of = np.unique(root, return_inverse=True)
+        centre = np.arange(len(roots))
+        merge(centre, of[first[i]], of[second[j]])
+        moved = centre != np.arange(len(roots))
+        return pa.table({"a": roots[centre[moved]], "b": roots[moved]}, schema=schema)
 
     return dealt.groupBy("cluster", "low", "high").applyInArrow(task, "a long, b long")
 
@@ -486,7 +491,7 @@ def links_between(docs: DataFrame, sets: DataFrame, by: Similarity) -> DataFrame
         F.count(F.lit(1)).alias("size"), F.sum("n").alias("held"), F.min("root").alias("r0"), F.max("root").alias("r1")
     ).where("size > 2 and r0 <> r1").select("cluster", "size", "held")
     members = bodies.join(materialize(roots.drop("n").join(open_, "cluster"), "open"), "a")
-    more = materialize(block_links(members, by), "links")
+    more = materialize(block_links(members, by).distinct(), "links")
     return components(linked.union(more))
 
 

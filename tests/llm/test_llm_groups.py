@@ -7,10 +7,12 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from plaudit.llm import jaccard, mixing, ranks, trie, variants
+from plaudit.llm.components import components
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, size long, pos long, word string"
 
@@ -255,3 +257,16 @@ def test_texts_of_few_wanted_sets_are_not_shuffled(spark, monkeypatch):
     assert sorted(r.a for r in stored.collect()) == sorted(keys)
     plan = plans[0]._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_links_of_near_copies_leave_their_blocks_as_stars(spark, monkeypatch):
+    base = np.arange(100, dtype=np.uint64)
+    sets = [np.union1d(base, np.uint64([1000 + i])) for i in range(40)] + [np.arange(500, 600, dtype=np.uint64)]
+    rows = [(i, 0, len(sets), float(sum(map(len, sets))), 100 + i // 2, s.tobytes()) for i, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "a long, cluster long, size long, held double, root long, shingles binary")
+    found = [(r.a, r.b) for r in jaccard.block_links(members, jaccard.Similarity()).collect()]
+    assert sorted(found) == [(100, b) for b in range(101, 120)]  # of 760 links; the last set has none
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    dealt = jaccard.block_links(members, jaccard.Similarity())
+    roots = {r.root for r in components(dealt).collect()}
+    assert len(roots) == 1 and {r.node for r in components(dealt).collect()} == set(range(100, 120))
