@@ -609,3 +609,21 @@ def test_words_of_the_keyword_scorer():
     texts = ["Great PIZZA,rice2go; food_cake", "Die Pizza é café coffeeé ½food² fish", "", "K tea\x1dbread"]
     for text, found in zip(texts, (["pizza", "rice", "food", "cake"], ["pizza", "food", "fish"], [], ["tea", "bread"])):
         assert terms.keyword_scorer([text])[0]["aspect"] == found
+
+
+def test_pairs_are_read_in_batches(spark, monkeypatch):
+    review = "The fries were hot and tasted great. We had cozy pizza!  The fries were hot and tasted great ? They left the rice cold"
+    rows = spark.createDataFrame([(1, review), (2, None), (3, ""), (4, "İs the food GOOD? no verb between them")], "id long, text string")
+    found = pairs.aspect_pairs(rows, keep=["id"], once=True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "lambda" not in plan
+    want = {
+        (1, "The fries were hot and tasted great", "fries", "hot", False), (1, "The fries were hot and tasted great", "fries", "great", False),
+        (1, "We had cozy pizza", "cozy pizza", "cozy", False), (1, "They left the rice cold", "rice", "cold", False),
+    }
+    got = list(map(tuple, found.collect()))
+    assert sorted(got) == sorted(want)
+    assert pairs.aspect_pairs(rows, keep=["id"]).count() == len(want) + 2
+    reader = pairs._Reader((pairs.WORDS, pairs.ATTRIBUTIVE, pairs.PREDICATIVE, pairs.CAUSATIVE), vocab.NOUNS, vocab.ADJECTIVES, False)
+    assert [len(s) for s in pairs._slices(["a" * pairs.SLICE, "b", "c", "d" * (pairs.SLICE - 2), "", "e" * 3 * pairs.SLICE])] == [1, 4, 1]
+    assert [len(t) for t in reader.read([review, "", "The food was great"])] == [4, 0, 1]
