@@ -627,3 +627,35 @@ def test_pairs_are_read_in_batches(spark, monkeypatch):
     reader = pairs._Reader((pairs.WORDS, pairs.ATTRIBUTIVE, pairs.PREDICATIVE, pairs.CAUSATIVE), vocab.NOUNS, vocab.ADJECTIVES, False)
     assert [len(s) for s in pairs._slices(["a" * pairs.SLICE, "b", "c", "d" * (pairs.SLICE - 2), "", "e" * 3 * pairs.SLICE])] == [1, 4, 1]
     assert [len(t) for t in reader.read([review, "", "The food was great"])] == [4, 0, 1]
+
+
+def test_scores_leave_out_what_counts_for_nothing_before_the_shuffle(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", "food", "positive"), (1, "a", "food", "neutral"), (1, "a", None, "mixed"), (1, "b", "food", None), (2, "b", None, "negative")],
+        "review_id long, sentence string, aspect string, sentiment string",
+    )
+    scored = sentiment.review_aspect_scores(rows)
+    got = sorted(map(tuple, scored.collect()))
+    assert got == [(1, "a", "food", 1, 0, 1.0), (2, "b", None, 0, 1, 0.0)]
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "IN (positive,negative)" in plan[plan.index("Aggregate") :]
+
+
+def test_users_under_a_key_of_users_are_counted_without_a_second_shuffle(spark):
+    rows = spark.createDataFrame(
+        [(1, 7, "a", 0.5, 1, 0), (1, 7, "a", 0.25, 1, 0), (1, None, "a", 1.0, 2, 0)],
+        "review_id long, user_id long, aspect string, positive_aspect_ratio double, positive_aspect_count long, negative_aspect_count long",
+    ).withColumn("w_user", F.lit(1.0))
+    per_user = vectors._weighted_measures(rows, ["review_id", "user_id", "aspect"])
+    assert per_user._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted((r.user_id or 0, r.review_count, r.user_account) for r in per_user.collect()) == [(0, 1, 0), (7, 2, 1)]
+    assert [r.user_account for r in vectors._weighted_measures(rows, ["aspect"]).collect()] == [1]
+
+
+def test_distinct_opinions_are_stemmed_and_labelled(spark, sf):
+    from plaudit.plans import catalog
+
+    plan = catalog.lexicon_table(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [aspect_opinion" in plan[plan.index("Generate explode") :]
+    few = catalog._labelled_distinct(spark, sf)
+    assert few.count() == few.select("aspect_seed", "aspect_opinion").distinct().count() < catalog._labelled(spark, sf).count()
