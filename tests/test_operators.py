@@ -626,7 +626,8 @@ def test_pairs_are_read_in_batches(spark, monkeypatch):
     assert pairs.aspect_pairs(rows, keep=["id"]).count() == len(want) + 2
     reader = pairs._Reader((pairs.WORDS, pairs.ATTRIBUTIVE, pairs.PREDICATIVE, pairs.CAUSATIVE), vocab.NOUNS, vocab.ADJECTIVES, False)
     assert [len(s) for s in pairs._slices(["a" * pairs.SLICE, "b", "c", "d" * (pairs.SLICE - 2), "", "e" * 3 * pairs.SLICE])] == [1, 4, 1]
-    assert [len(t) for t in reader.read([review, "", "The food was great"])] == [4, 0, 1]
+    reader.read([review, "", "The food was great"], found := pairs._Found())
+    assert found.per_text == [4, 0, 1] and found.per_sentence == [2, 1, 2, 1, 1]
 
 
 def test_scores_leave_out_what_counts_for_nothing_before_the_shuffle(spark):
