@@ -660,3 +660,13 @@ def test_distinct_opinions_are_stemmed_and_labelled(spark, sf):
     assert "Aggregate [aspect_opinion" in plan[plan.index("Generate explode") :]
     few = catalog._labelled_distinct(spark, sf)
     assert few.count() == few.select("aspect_seed", "aspect_opinion").distinct().count() < catalog._labelled(spark, sf).count()
+
+
+def test_mapped_terms_get_their_lexical_label_before_the_join(spark):
+    rows = spark.createDataFrame([(1, " Pizza "), (2, "pizza"), (3, "piano"), (4, "anvil"), (5, "Soup"), (6, None)], "id long, aspect_seed string")
+    known = spark.createDataFrame([("pizza", "service"), ("piano", None), ("anvil", None)], "term string, label string")
+    labelled = mapping.apply_mapping(rows, known)
+    want = [(1, "service"), (2, "service"), (3, "ambience"), (4, None), (5, "food"), (6, None)]
+    assert sorted((r.id, r.aspect) for r in labelled.collect()) == want and labelled.columns == ["id", "aspect_seed", "aspect"]
+    plan = labelled._jdf.queryExecution().optimizedPlan().toString()
+    assert "lower(term" in plan[plan.index("Join LeftOuter") :]
